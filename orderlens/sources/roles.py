@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlens.model import CUMULATIVE, GROUP_ID, HEADER_ID, ORDER, STRENGTH, TREND_COLUMNS, COMMENT, GROUP
+from orderlens import model as m
+from orderlens.model import COMMENT, CUMULATIVE, GROUP, GROUP_ID, HEADER_ID, ORDER, STRENGTH, TREND_COLUMNS
 from orderlens.operators.series import with_history
 from orderlens.session import store
 
@@ -155,3 +156,15 @@ def order_roles(spark: SparkSession, folder: str, refresh: bool = False) -> Orde
             grp=groups(spark, folder),
         )
     return _built[key]
+
+
+def vectors(roles: OrderRoles) -> DataFrame:
+    """One trend vector per order and group, named like the frame's columns."""
+    return roles.hist.join(roles.grp, GROUP_ID).select(ORDER, GROUP, *TREND_COLUMNS)
+
+
+def register(roles: OrderRoles) -> None:
+    """Make the six tables known to SQL under their table names."""
+    names = (m.HIST_TABLE, m.HEADER_TABLE, m.DETAIL_TABLE, m.JOURNAL_TABLE, m.JOURNAL_TYPE_TABLE, m.GROUP_TABLE)
+    for name, df in zip(names, (roles.hist, roles.hdr, roles.detl, roles.jrnl, roles.typ, roles.grp)):
+        df.createOrReplaceTempView(name)
