@@ -41,10 +41,18 @@ def base_orders(
     score: int = m.EXCLUDED_SCORE,
     ignore_case: bool = False,
 ) -> DataFrame:
-    """One row per accepted comment, with the strengths and trend of its order and group."""
+    """One row per accepted comment, with the strengths and trend of its order and group.
+
+    History, header and detail are joined first: one row per order and group.
+    They meet the journal in a join of two freshly shuffled sides, the form
+    in which adaptive execution can split the rows of an order that has a
+    large part of all comments.
+    """
+    named = roles.hdr.select(m.HEADER_ID, F.col("ORDER_CD").alias(m.ORDER)).join(
+        accepted_detail(roles, statuses, score, ignore_case), m.HEADER_ID
+    )
     return (
-        roles.hist.join(roles.hdr.select(m.HEADER_ID, "ORDER_CD"), F.col(m.ORDER) == F.col("ORDER_CD"))
-        .join(accepted_detail(roles, statuses, score, ignore_case), [m.HEADER_ID, m.GROUP_ID])
+        roles.hist.join(named, [m.ORDER, m.GROUP_ID])
         .join(accepted_journal(roles, types, ignore_case), [m.HEADER_ID, m.GROUP_ID])
         .join(roles.grp, m.GROUP_ID)
         .select(*m.BASE_COLUMNS)

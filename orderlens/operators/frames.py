@@ -98,10 +98,9 @@ def search_page(
 ) -> DataFrame:
     """One page of the search result, with the result's row and page counts."""
     found = search(df, term, literal)
-    counts = page_count(found, size)
-    return page(found, number, order, size).select(
-        "*", counts.select("row_count").scalar().alias("row_count"), counts.select("page_count").scalar().alias("page_count")
-    )
+    # One row of counts, evaluated once.
+    counts = page_count(found, size).select(F.struct("row_count", "page_count")).scalar()
+    return page(found, number, order, size).withColumn("_counts", counts).select(*df.columns, "_counts.*")
 
 
 def last_rows(df: DataFrame, n: int = m.ACTION_ROWS) -> DataFrame:

@@ -1,0 +1,173 @@
+from __future__ import annotations
+
+import pytest
+from samples import frame, random_rows, row, tuples
+
+from orderlens import model as m
+from orderlens.operators import base, context, similar
+from orderlens.plans import predict
+
+KEYS = [m.ORDER, m.GROUP]
+
+
+def leading(rows, blocks, order, block, size):
+    """The context by definition: the first rows of other orders, in frame order."""
+    others = [r for r in rows if r[1] != order and (not blocks or r[4] == block)]
+    return others[:size]
+
+
+def brute_force(ranked, queries, blocks, size, k):
+    found = {}
+    for q in queries:
+        near = []
+        for c in leading(ranked, blocks, q[1], q[4], size):
+            if c[0] is None or None in c[5:] or None in q[5:]:
+                continue
+            near.append((sum((x - y) ** 2 for x, y in zip(q[5:], c[5:])), c[1], c[0]))
+        found[(q[1], q[4])] = [(order, comment, d) for d, order, comment in sorted(near)[:k]]
+    return found
+
+
+def as_dict(df):
+    return {(r[m.ORDER], r[m.GROUP]): [tuple(n) for n in r.neighbours] for r in df.collect()}
+
+
+def queries_of(spark, df):
+    return df.dropDuplicates(KEYS).select(*KEYS, *m.TREND_COLUMNS)
+
+
+# Order 0 has most rows: it fills the context of every other order.
+CROWDED = [0] * 12 + list(range(1, 15))
+
+
+@pytest.mark.parametrize("orders", [list(range(40)), CROWDED])
+@pytest.mark.parametrize("blocks", [[], [m.GROUP]])
+@pytest.mark.parametrize("size", [6, 25, 400])
+def test_neighbours_equal_brute_force(spark, orders, blocks, size):
+    df = frame(spark, random_rows(220, orders, seed=size)).cache()
+    ranked = tuples(base.sorted_frame(df))
+    queries = queries_of(spark, df).cache()
+    rows = [(None, r[m.ORDER], None, None, r[m.GROUP], *[r[c] for c in m.TREND_COLUMNS]) for r in queries.collect()]
+    expected = brute_force(ranked, rows, blocks, size, 5)
+    records = similar.first_records(df, blocks, size)
+    assert as_dict(similar.nearest_orders(queries, records, blocks, size)) == expected
+    joined = similar.nearest_orders(queries, records, blocks, size, context_bytes=0, queries_per_chunk=9)
+    assert as_dict(joined) == expected
+
+
+def test_missing_blocks_match_missing_blocks(spark):
+    df = frame(spark, random_rows(60, range(20), groups=("a", None), seed=2))
+    queries = queries_of(spark, df)
+    records = similar.first_records(df, [m.GROUP])
+    one = as_dict(similar.nearest_orders(queries, records, [m.GROUP]))
+    assert len(one) == queries.count()
+    assert one == as_dict(similar.nearest_orders(queries, records, [m.GROUP], context_bytes=0))
+    assert any(near for (_, group), near in one.items() if group is None)
+
+
+def test_one_block_is_the_whole_frame(spark):
+    df = frame(spark, random_rows(80, range(30), groups=("only",), seed=4))
+    queries = queries_of(spark, df)
+    whole = similar.nearest_orders(queries, similar.first_records(df))
+    blocked = similar.nearest_orders(queries, similar.first_records(df, [m.GROUP]), [m.GROUP])
+    assert as_dict(whole) == as_dict(blocked)
+
+
+def test_input_partitions_do_not_matter(spark):
+    df = frame(spark, random_rows(120, range(30), seed=6))
+    queries = queries_of(spark, df)
+    results = [
+        as_dict(similar.nearest_orders(queries.repartition(n), similar.first_records(df.repartition(n)))) for n in (1, 7)
+    ]
+    assert results[0] == results[1]
+
+
+def test_context_bound(spark):
+    df = frame(spark, random_rows(300, CROWDED, seed=9))
+    assert similar.first_records(df, size=20).count() == 40
+    assert similar.first_records(df.filter(f"{m.ORDER} = 0"), size=20).count() == 20
+
+
+def test_empty_frame(spark):
+    df = frame(spark, [])
+    queries = frame(spark, [row(1, last=1.0)]).select(*KEYS, *m.TREND_COLUMNS)
+    records = similar.first_records(df)
+    assert as_dict(similar.nearest_orders(queries, records)) == {(1, "g"): []}
+    assert as_dict(similar.nearest_orders(queries, records, context_bytes=-1)) == {(1, "g"): []}
+    found = similar.predict_comments(queries, records, df).collect()[0]
+    assert (found.predicted_comment, found.reason) == similar.NO_DATA
+
+
+def test_vote(spark):
+    near = "array<struct<order_number:bigint,comment:string,distance:double>>"
+    df = spark.createDataFrame(
+        [
+            (1, [(5, "a", 1.0), (6, "b", 2.0), (7, "b", 3.0)]),
+            (2, [(5, "a", 1.0), (6, "b", 0.5)]),
+            (3, [(5, "b", 1.0), (6, "a", 1.0)]),
+            (4, []),
+        ],
+        f"id int, neighbours {near}",
+    )
+    found = {r.id: (r.predicted_comment, r.reason) for r in similar.vote(df).collect()}
+    assert found == {
+        1: ("b", "2 of 3 similar orders carry this comment: 6, 7"),
+        2: ("b", "1 of 2 similar orders carry this comment: 6"),
+        3: ("a", "1 of 2 similar orders carry this comment: 6"),
+        4: (None, None),
+    }
+
+
+def test_prediction_and_fallback(spark):
+    up = [float(i) for i in range(12)]
+    near_up = [float(i) + 0.5 for i in range(12)]
+    partial = [None] + up[1:]
+    df = frame(spark, [row(1, "raise", lags=up), row(2, "raise", lags=near_up), row(3, "low", lags=[1.0] * 12), row(4, None, lags=partial)])
+    selected = df.filter(f"{m.ORDER} IN (2, 4)")
+    found = {r[m.ORDER]: (r.predicted_comment, r.reason) for r in predict.predict_for(selected, df).collect()}
+    # Order 2: one neighbour for each comment, the nearer one wins.
+    assert found[2] == ("raise", "1 of 2 similar orders carry this comment: 1")
+    assert found[4] == ("raise", "no similar order; most common comment of shape rising")
+
+
+def test_predictions_are_observed_comments(spark, folder):
+    from orderlens.sources.roles import order_roles
+
+    tables = order_roles(spark, folder)
+    found = predict.prediction_batch(tables)
+    observed = {r[0] for r in base.base_orders(tables).select(m.COMMENT).distinct().collect()}
+    assert {r[0] for r in found.select("predicted_comment").distinct().collect()} <= observed
+    assert found.count() == tables.hist.count()
+
+
+def test_accuracy(spark):
+    df = frame(spark, [row(1, "a"), row(1, "b"), row(2, "a", group="h"), row(2, None, group="h")])
+    predictions = spark.createDataFrame([(1, "g", "a"), (2, "h", "a")], f"{m.ORDER} bigint, {m.GROUP} string, predicted_comment string")
+    assert sorted(tuples(similar.prediction_accuracy(predictions, df))) == [("g", 2, 1, 0.5), ("h", 1, 1, 1.0)]
+
+
+@pytest.mark.parametrize("orders", [list(range(40)), CROWDED])
+def test_context_records(spark, orders):
+    df = frame(spark, random_rows(90, orders, seed=12)).cache()
+    ranked = tuples(base.sorted_frame(df))
+    records = similar.first_records(df, size=15)
+    queries = spark.createDataFrame([(0,), (3,), (10**6,)], f"{m.ORDER} bigint")
+    found = context.context_records(queries, records, 15).collect()
+    for order in (0, 3, 10**6):
+        mine = sorted([r for r in found if r.query_order == order], key=lambda r: r.place)
+        assert [r.place for r in mine] == list(range(1, len(mine) + 1))
+        assert [(r.order_number, r.comment, r.trends) for r in mine] == [
+            (c[1], c[0], dict(zip(m.TREND_COLUMNS, c[5:]))) for c in leading(ranked, [], order, None, 15)
+        ]
+
+
+def test_context_json_is_valid(spark):
+    import json
+
+    df = frame(spark, [row(1, 'say "hi"\n', lags=[None] * 11 + [2.0]), row(2, None, last=1.0)])
+    found = {r.order_number: r for r in context.context_json(df, similar.first_records(df)).collect()}
+    assert json.loads(found[2].base_orders) == [
+        {"order_number": 1, "comment": 'say "hi"\n', "trends": {c: None for c in m.TREND_COLUMNS[:-1]} | {m.LAST_TREND: 2.0}}
+    ]
+    assert json.loads(found[1].base_orders)[0]["comment"] is None
+    assert list(json.loads(found[1].trends)) == m.TREND_COLUMNS
