@@ -13,7 +13,8 @@ NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 def to_number(col: Column, kind: T.DataType) -> Column:
     """A double; text that is no finite number, and NaN, become NULL."""
     if isinstance(kind, T.StringType):
-        value = F.when(col.rlike(NUMBER_PATTERN), F.regexp_replace(col, r"\s", "").try_cast("double"))
+        # The cast ignores outer white space.
+        value = F.when(col.rlike(NUMBER_PATTERN), col.try_cast("double"))
         return F.when(F.abs(value) < float("inf"), value)
     return F.nanvl(col.cast("double"), F.lit(None).cast("double"))
 
@@ -26,7 +27,7 @@ def has_number(col: Column, kind: T.DataType) -> Column:
     mix of them.
     """
     if isinstance(kind, T.StringType):
-        size = F.abs(F.regexp_replace(col, r"\s", "").try_cast("double"))
+        size = F.abs(col.try_cast("double"))
         return F.coalesce(col.rlike(NUMBER_PATTERN) & (size < float("inf")), F.lit(False))
     return col.isNotNull() & ~F.isnan(col.cast("double"))
 
