@@ -5,8 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
+from orderlens.functions.answers import extract_queries
 from orderlens.operators.frames import deny_columns
 
 # Outcome texts.
@@ -43,6 +45,16 @@ def select(spark: SparkSession, sql: str) -> DataFrame:
     return deny_columns(spark.sql(f"SELECT * FROM (\n{text}\n)"))
 
 
+def evaluate(df: DataFrame) -> int:
+    """Evaluate every column of every row without keeping any; the row count.
+
+    A plain count would skip the columns, and with them their errors.
+    """
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.format("noop").mode("overwrite").save()
+    return seen.get["rows"]
+
+
 def run_query(
     spark: SparkSession, sql: str | None, explanation: str = "", max_rows: int | None = None, context: str | None = ""
 ) -> QueryResult:
@@ -59,7 +71,7 @@ def run_query(
         results = select(spark, sql)
         if max_rows is not None:
             results = results.limit(max_rows)
-        rows = results.count()
+        rows = evaluate(results)
     except PySparkException:
         return QueryResult(False, None, QUERY_FAILED, None, sql)
     columns = len(results.columns)
@@ -69,3 +81,14 @@ def run_query(
     if explanation:
         summary += EXPLAINED.format(explanation=explanation)
     return QueryResult(True, results, FOUND.format(rows=rows), summary, sql, rows, columns)
+
+
+def run_answer(
+    spark: SparkSession, answer: str, max_rows: int | None = None, context: str | None = ""
+) -> QueryResult:
+    """Run the query found in a text answer; see ``extract_queries``."""
+    if context is None or "Error:" in context:
+        return run_query(spark, None, context=None)
+    given = spark.createDataFrame([(answer,)], "answer string")
+    found = extract_queries(given, "answer").first()
+    return run_query(spark, found["sql_query"], found["explanation"], max_rows, context)

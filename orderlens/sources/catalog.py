@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from orderlens import model as m
 from orderlens.session import store
 from orderlens.sources.roles import table
 
@@ -125,3 +126,20 @@ def catalog_roles(spark: SparkSession, folder: str, refresh: bool = False) -> Ca
     )
     _built[where] = CatalogRoles(tables, columns, types, schemas, keys, single.unionByName(composite))
     return _built[where]
+
+
+def session_columns(spark: SparkSession, database: str) -> DataFrame:
+    """The columns of the session's own tables, as ``catalog_columns`` lists them.
+
+    Spark keeps no foreign keys, so ``has_relationships`` is 0.
+    """
+    rows = [
+        (database, found.name, column.name, column.dataType, None, column.nullable, 0, place)
+        for found in spark.catalog.listTables(database)
+        for place, column in enumerate(spark.catalog.listColumns(found.name if found.isTemporary else f"{database}.{found.name}"), 1)
+    ]
+    schema = (
+        "schema_name string, table_name string, column_name string, data_type string, max_length int, "
+        "is_nullable boolean, has_relationships bigint, column_id int"
+    )
+    return spark.createDataFrame(rows, schema).filter(~F.lower("column_name").contains(m.DENIED_NAME))
