@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlens import model as m
+from orderlens.session import store
 from orderlens.sources.catalog import CatalogRoles
 
 
@@ -35,8 +36,9 @@ def catalog_columns(catalog: CatalogRoles) -> DataFrame:
     tables = user_tables(catalog).select("object_id", "schema_id", F.col("name").alias("table_name"))
     schemas = catalog.schemas.select("schema_id", F.col("name").alias("schema_name"))
     types = catalog.types.select("user_type_id", F.col("name").alias("data_type"))
-    # Count and filter on the table side first: columns are the large side.
-    listed = (
+    # One row per table. Stored, so that its join with the columns is between
+    # freshly shuffled sides and the partition of a very wide table can be split.
+    listed = store(
         tables.filter(~F.col("table_name").startswith("#"))
         .join(schemas.filter(~F.col("schema_name").isin(*m.SYSTEM_SCHEMAS)), "schema_id")
         .join(relationship_counts(catalog), "object_id", "left")
@@ -45,7 +47,8 @@ def catalog_columns(catalog: CatalogRoles) -> DataFrame:
             "schema_name",
             "table_name",
             F.coalesce("has_relationships", F.lit(0)).alias("has_relationships"),
-        )
+        ),
+        "listed-tables",
     )
     columns = catalog.columns.select(
         "object_id", "column_id", F.col("name").alias("column_name"), "user_type_id", "max_length", "is_nullable"

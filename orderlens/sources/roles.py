@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -168,3 +168,8 @@ def register(roles: OrderRoles) -> None:
     names = (m.HIST_TABLE, m.HEADER_TABLE, m.DETAIL_TABLE, m.JOURNAL_TABLE, m.JOURNAL_TYPE_TABLE, m.GROUP_TABLE)
     for name, df in zip(names, (roles.hist, roles.hdr, roles.detl, roles.jrnl, roles.typ, roles.grp)):
         df.createOrReplaceTempView(name)
+
+
+def stored(roles: OrderRoles) -> OrderRoles:
+    """Copies of the six tables in the shared folder, read from the source once."""
+    return OrderRoles(*[store(getattr(roles, f.name), f.name) for f in fields(roles)])

@@ -50,6 +50,14 @@ def test_case_is_exact_unless_asked(spark):
     assert sorted(r[m.COMMENT] for r in found.collect()) == ["lower", "upper"]
 
 
+def test_stored_copies(spark):
+    from orderlens.sources.roles import stored
+
+    assert sorted(tuples(base.base_orders(stored(sample(spark)))), key=repr) == sorted(
+        tuples(base.base_orders(sample(spark))), key=repr
+    )
+
+
 def test_base_columns(spark):
     assert base.base_orders(sample(spark)).columns == m.BASE_COLUMNS
 
