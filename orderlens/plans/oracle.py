@@ -41,17 +41,17 @@ jrnl AS (
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey)"""
 
 BASE = f"""{ORDER_TABLES},
+kept_detl AS (
+  SELECT ORDER_HDR_ID, INGRD_GRP_ID FROM detl
+  WHERE ORDER_STATUS_CD IN ({_quoted(m.ORDER_STATUSES)}) AND ORDER_SCORE_FCT <> {m.EXCLUDED_SCORE}),
+kept_jrnl AS (
+  SELECT ORDER_HDR_ID, INGRD_GRP_ID, ORDER_JRNL_CMT_TXT FROM jrnl SEMI JOIN (
+    SELECT ORDER_JRNL_TYP_ID FROM typ WHERE ORDER_JRNL_TYP_TXT IN ({_quoted(m.JOURNAL_TYPES)})) USING (ORDER_JRNL_TYP_ID)),
 base AS (
-  SELECT j.ORDER_JRNL_CMT_TXT, h.ORDERNUMBER, h.ORDERSTRENGTH, h.CUMULSTRENGTH, g.INGRD_GRP_NM,
-         {", ".join(f"h.{c}" for c in m.TREND_COLUMNS)}
-  FROM hist h
-  JOIN hdr o ON o.ORDER_CD = h.ORDERNUMBER
-  JOIN detl d ON d.ORDER_HDR_ID = o.ORDER_HDR_ID AND d.INGRD_GRP_ID = h.INGRD_GRP_ID
-  JOIN jrnl j ON j.ORDER_HDR_ID = d.ORDER_HDR_ID AND j.INGRD_GRP_ID = d.INGRD_GRP_ID
-  JOIN typ k ON k.ORDER_JRNL_TYP_ID = j.ORDER_JRNL_TYP_ID
-  JOIN grp g ON g.INGRD_GRP_ID = h.INGRD_GRP_ID
-  WHERE k.ORDER_JRNL_TYP_TXT IN ({_quoted(m.JOURNAL_TYPES)})
-    AND d.ORDER_STATUS_CD IN ({_quoted(m.ORDER_STATUSES)}) AND d.ORDER_SCORE_FCT <> {m.EXCLUDED_SCORE})"""
+  SELECT {BASE_LIST}
+  FROM kept_jrnl JOIN kept_detl USING (ORDER_HDR_ID, INGRD_GRP_ID)
+  JOIN (SELECT ORDER_HDR_ID, ORDER_CD AS ORDERNUMBER FROM hdr) USING (ORDER_HDR_ID)
+  JOIN hist USING (ORDERNUMBER, INGRD_GRP_ID) JOIN grp USING (INGRD_GRP_ID))"""
 
 LOAD_ORDER = "ORDER_JRNL_CMT_TXT DESC NULLS LAST, " + ", ".join(
     f"{c} NULLS LAST" for c in m.BASE_COLUMNS if c != m.COMMENT
@@ -195,31 +195,32 @@ m_fkc AS (
   SELECT l_orderkey, parent, p.column_id, referenced, q.column_id
   FROM pairs JOIN smallest p ON p.object_id = parent JOIN smallest q ON q.object_id = referenced
   WHERE l_orderkey % 5 = 0),
+places AS (
+  SELECT object_id, m_tables.name AS table_name, m_schemas.name AS schema_name
+  FROM m_tables JOIN m_schemas USING (schema_id) WHERE is_ms_shipped = 0),
+links AS (
+  SELECT parent_object_id AS object_id, count(*) AS n FROM m_fkc
+  WHERE constraint_object_id IN (SELECT object_id FROM m_fk) GROUP BY 1),
+named AS (
+  SELECT object_id, column_id, schema_name, table_name, name AS column_name, user_type_id, max_length, is_nullable,
+         contains(lower(name), 'sold_to') AS denied
+  FROM m_columns JOIN places USING (object_id)),
 listed AS (
-  SELECT s.name AS schema_name, t.name AS table_name, c.name AS column_name, ty.name AS data_type,
-         c.max_length, c.is_nullable = 1 AS is_nullable,
-         (SELECT count(*) FROM m_fk fk JOIN m_fkc fkc ON fk.object_id = fkc.constraint_object_id
-          WHERE fkc.parent_object_id = t.object_id) AS has_relationships,
-         c.column_id
-  FROM m_tables t JOIN m_columns c ON t.object_id = c.object_id JOIN m_types ty ON c.user_type_id = ty.user_type_id
-  JOIN m_schemas s ON t.schema_id = s.schema_id
-  WHERE t.is_ms_shipped = 0 AND s.name NOT IN ('sys', 'INFORMATION_SCHEMA') AND t.name NOT LIKE '#%'
-    AND NOT contains(lower(c.name), 'sold_to')),
+  SELECT schema_name, table_name, column_name, m_types.name AS data_type, max_length, is_nullable = 1 AS is_nullable,
+         coalesce(n, 0) AS has_relationships, column_id
+  FROM named JOIN m_types USING (user_type_id) LEFT JOIN links USING (object_id)
+  WHERE schema_name NOT IN ('sys', 'INFORMATION_SCHEMA') AND NOT starts_with(table_name, '#') AND NOT denied),
 edges AS (
-  SELECT fk.name AS fk_name, ps.name || '.' || tp.name AS parent_table, cp.name AS parent_column,
-         rs.name || '.' || tr.name AS referenced_table, cr.name AS referenced_column,
-         tp.name AS parent_name, tr.name AS referenced_name
-  FROM m_fk fk JOIN m_tables tp ON fk.parent_object_id = tp.object_id
-  JOIN m_tables tr ON fk.referenced_object_id = tr.object_id
-  JOIN m_fkc fkc ON fk.object_id = fkc.constraint_object_id
-  JOIN m_columns cp ON fkc.parent_column_id = cp.column_id AND fkc.parent_object_id = cp.object_id
-  JOIN m_columns cr ON fkc.referenced_column_id = cr.column_id AND fkc.referenced_object_id = cr.object_id
-  JOIN m_schemas ps ON tp.schema_id = ps.schema_id JOIN m_schemas rs ON tr.schema_id = rs.schema_id
-  WHERE tp.is_ms_shipped = 0 AND tr.is_ms_shipped = 0),
+  SELECT m_fk.name AS fk_name, a.schema_name || '.' || a.table_name AS parent_table, a.column_name AS parent_column,
+         b.schema_name || '.' || b.table_name AS referenced_table, b.column_name AS referenced_column,
+         a.table_name AS parent_name, b.table_name AS referenced_name, a.denied OR b.denied AS denied
+  FROM m_fkc JOIN m_fk ON m_fk.object_id = constraint_object_id
+  JOIN named a ON (a.object_id, a.column_id) = (m_fkc.parent_object_id, parent_column_id)
+  JOIN named b ON (b.object_id, b.column_id) = (m_fkc.referenced_object_id, referenced_column_id)),
 fk_edges AS (
   SELECT * FROM (SELECT * FROM edges ORDER BY parent_name, referenced_name, fk_name, parent_column, referenced_column,
                                               parent_table, referenced_table LIMIT 300)
-  WHERE NOT contains(lower(parent_column), 'sold_to') AND NOT contains(lower(referenced_column), 'sold_to'))"""
+  WHERE NOT denied)"""
 
 OUTLINE = f"""{CATALOG_TABLES},
 sized AS (
@@ -302,14 +303,9 @@ SELECT s_suppkey, s_name AS server, 'db' || s_nationkey AS "database", 'u' || s_
     "fk_edges": f"WITH {CATALOG_TABLES} SELECT fk_name, parent_table, parent_column, referenced_table, referenced_column FROM fk_edges",
     "csv_roundtrip": f"WITH {BASE} SELECT * FROM base",
     "base_orders": f"WITH {BASE} SELECT * FROM base",
-    "base_fanout": f"""WITH {ORDER_TABLES}
-SELECT o.ORDER_CD AS ORDERNUMBER, d.INGRD_GRP_ID, count(*) AS n_comments
-FROM hdr o JOIN detl d USING (ORDER_HDR_ID)
-JOIN jrnl j ON j.ORDER_HDR_ID = d.ORDER_HDR_ID AND j.INGRD_GRP_ID = d.INGRD_GRP_ID
-JOIN typ k USING (ORDER_JRNL_TYP_ID)
-WHERE k.ORDER_JRNL_TYP_TXT IN ({_quoted(m.JOURNAL_TYPES)})
-  AND d.ORDER_STATUS_CD IN ({_quoted(m.ORDER_STATUSES)}) AND d.ORDER_SCORE_FCT <> {m.EXCLUDED_SCORE}
-GROUP BY 1, 2""",
+    "base_fanout": f"""WITH {BASE}
+SELECT ORDER_HDR_ID + 500000 AS ORDERNUMBER, INGRD_GRP_ID, count(*) AS n_comments
+FROM kept_jrnl JOIN kept_detl USING (ORDER_HDR_ID, INGRD_GRP_ID) GROUP BY 1, 2""",
     "trend_projection": f"WITH {BASE} SELECT {LAG_LIST} FROM base",
     "action_view": f"""WITH {FRAME}, {LAST_TEN}
 SELECT ORDERNUMBER AS order_no, INGRD_GRP_NM AS ingredient_group, ORDERSTRENGTH AS order_str,

@@ -1,0 +1,60 @@
+"""The distance kernel against all distances."""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from orderlens import model as m
+from orderlens.functions.nearest import Context
+
+
+def table(orders, vectors, comments=None):
+    columns = {m.ORDER: pa.array(orders, pa.int64())}
+    for i, name in enumerate(m.TREND_COLUMNS):
+        columns[name] = pa.array([v[i] for v in vectors], pa.float64(), from_pandas=True)
+    if comments is not None:
+        columns[m.COMMENT] = pa.array(comments, pa.string())
+        columns["position"] = pa.array(range(1, len(orders) + 1), pa.int32())
+    return pa.table(columns)
+
+
+def brute_force(orders, vectors, comments, query, vector, size, k):
+    if not np.isfinite(vector).all():
+        return []
+    others = [i for i in range(len(orders)) if orders[i] != query][:size]
+    near = [
+        (float(((np.array(vector) - vectors[i]) ** 2).sum()), orders[i], comments[i])
+        for i in others
+        if comments[i] is not None and np.isfinite(vectors[i]).all()
+    ]
+    return [(order, comment, d) for d, order, comment in sorted(near)[:k]]
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-9, 1e9, 1e140])
+@pytest.mark.parametrize("shift", [0.0, 1e6])
+@given(seed=st.integers(0, 10_000), n=st.integers(1, 80), span=st.integers(1, 6), size=st.integers(1, 60), k=st.integers(1, 7))
+@settings(max_examples=25, deadline=None)
+def test_nearest(scale, shift, seed, n, span, size, k):
+    pick = np.random.default_rng(seed)
+    orders = pick.integers(0, max(2, n // 2), n)
+    vectors = pick.integers(0, span, (n, m.LAGS)) * scale + shift
+    vectors[pick.random(n) < 0.1, 3] = np.nan
+    comments = [None if x == 0 else f"c{x}" for x in pick.integers(0, 6, n)]
+    context = Context(table(orders, vectors, comments), size)
+    queries = pick.integers(-3, max(2, n // 2), 30)
+    asked = pick.integers(0, span, (30, m.LAGS)) * scale + shift
+    asked[pick.random(30) < 0.1, 5] = np.nan
+    found = context.nearest(table(queries, asked), k).to_pylist()
+    for query, vector, near in zip(queries, asked, found):
+        expected = brute_force(orders, vectors, comments, query, vector, size, k)
+        assert [tuple(x.values()) for x in near] == expected
+
+
+def test_no_rows():
+    context = Context(table([], [], []), 5)
+    assert context.nearest(table([], []), 3).to_pylist() == []
+    assert context.nearest(table([1], [[1.0] * 12]), 3).to_pylist() == [[]]
