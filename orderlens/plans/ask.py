@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderlens.functions.answers import extract_queries
@@ -50,9 +50,9 @@ def evaluate(df: DataFrame) -> int:
 
     A plain count would skip the columns, and with them their errors.
     """
-    seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.format("noop").mode("overwrite").save()
-    return seen.get["rows"]
+    numbered = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    whole_row = F.struct("*").cast("string")
+    return numbered.agg(F.count(F.lit(1)).alias("rows"), F.max(F.length(whole_row))).first()["rows"]
 
 
 def run_query(
