@@ -160,14 +160,17 @@ def group_outline(
     sizes = df.groupBy(*groups).agg(F.count("*").alias("n_items"), *[t.alias(n) for t, n in zip(ties, tie_names)])
     ranking = [F.desc("n_items"), *[F.asc(n) for n in tie_names], *[F.asc(g) for g in groups]]
     # At most `top` rows are left when they are numbered, and broadcast.
+    # The key is a struct, as its NULL fields compare equal.
+    key = F.struct(*groups).alias("_group")
     largest = (
         sizes.orderBy(*ranking)
         .limit(top)
-        .select(*groups, "n_items", F.row_number().over(Window.orderBy(*ranking)).alias("group_rank"))
+        .select(key, "n_items", F.row_number().over(Window.orderBy(*ranking)).alias("group_rank"))
     )
     place = F.row_number().over(Window.partitionBy(*groups).orderBy(*item_order))
     return (
-        df.join(F.broadcast(largest), list(groups))
+        df.select("*", key)
+        .join(F.broadcast(largest), "_group")
         .withColumn("place", place)
         .filter(F.col("place") <= per_group)
         .groupBy(*groups, "group_rank", "n_items")

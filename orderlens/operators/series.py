@@ -65,45 +65,44 @@ def _split(
     )
     piece = [*series, "_range"]
 
-    # One short record per piece: its total and its last values.
+    # One short record per piece: its total and its last rows, oldest first.
     newest_first = Window.partitionBy(*piece).orderBy(*[F.desc(c) for c in order])
     tails = (
-        ranged.select(*piece, *order, F.col(value).alias("_value"))
-        .withColumn("_back", F.row_number().over(newest_first))
+        ranged.withColumn("_back", F.row_number().over(newest_first))
         .filter(F.col("_back") <= lags)
         .groupBy(*piece)
-        .agg(F.sort_array(F.collect_list(F.struct(F.negative("_back").alias("b"), F.col("_value").alias("v")))).alias("_t"))
-        .withColumn("_tail", F.col("_t.v"))
+        .agg(F.sort_array(F.collect_list(F.struct(*order, F.col(value).alias("_value")))).alias("_tail"))
     )
     totals = ranged.groupBy(*piece).agg(F.sum(value).alias("_total"))
+    pieces = (
+        tails.unionByName(totals, allowMissingColumns=True)
+        .groupBy(*piece)
+        .agg(F.first("_tail", ignorenulls=True).alias("_tail"), F.first("_total", ignorenulls=True).alias("_total"))
+    )
+
+    # What comes before a piece: the sum so far, and the rows its lags reach
+    # back to. Every piece has a row, so `lags` earlier pieces always suffice.
     by_range = Window.partitionBy(*series).orderBy("_range")
     before = by_range.rowsBetween(Window.unboundedPreceding, -1)
-    # Every piece has at least one row, so `lags` earlier pieces always suffice.
-    near = by_range.rowsBetween(-lags, -1)
-    carried = tails.join(totals, piece).select(
+    near = F.flatten(F.collect_list("_tail").over(by_range.rowsBetween(-lags, -1)))
+    carried = pieces.select(*piece, F.sum("_total").over(before).alias("_sum"), near.alias("_near")).select(
         *piece,
-        F.sum("_total").over(before).alias("_offset"),
-        F.reverse(F.flatten(F.collect_list("_tail").over(near))).alias("_carry"),
+        "_sum",
+        F.posexplode(F.when(F.size("_near") > lags, F.slice("_near", -lags, lags)).otherwise(F.col("_near"))).alias(
+            "_at", "_row"
+        ),
     )
 
+    # The carried rows join their piece as leading rows; the first brings the sum.
+    leading = carried.select(
+        *piece, "_row.*", F.lit(True).alias("_carried"), F.when(F.col("_at") == 0, F.col("_sum")).alias("_add")
+    )
+    own = ranged.select(
+        "*", F.col(value).alias("_value"), F.lit(False).alias("_carried"), F.col(value).alias("_add")
+    )
     inside = Window.partitionBy(*piece).orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = ranged.select(
-        "*",
-        F.row_number().over(inside).alias("_at"),
-        F.sum(value).over(upto).alias("_run"),
-        *[F.lag(value, k).over(inside).alias(f"_lag{k}") for k in range(1, lags + 1)],
-    ).join(carried, piece)
-    added: list[Column] = []
-    if running:
-        added.append(
-            F.when(F.col("_offset").isNull(), F.col("_run"))
-            .when(F.col("_run").isNull(), F.col("_offset"))
-            .otherwise(F.col("_offset") + F.col("_run"))
-            .alias(running)
-        )
-    for k in range(lags, 0, -1):
-        reach = F.lit(k + 1) - F.col("_at")
-        from_carry = F.when(F.size("_carry") >= reach, F.try_element_at("_carry", reach))
-        added.append(F.when(F.col("_at") > k, F.col(f"_lag{k}")).otherwise(from_carry).alias(lag_name(k)))
-    return placed.select(*df.columns, *added)
+    added = [F.sum("_add").over(upto).alias(running)] if running else []
+    added += [F.lag("_value", k).over(inside).alias(lag_name(k)) for k in range(lags, 0, -1)]
+    rows = own.unionByName(leading, allowMissingColumns=True).select("*", *added)
+    return rows.filter(~F.col("_carried")).drop("_range", "_value", "_carried", "_add")

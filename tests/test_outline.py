@@ -89,3 +89,12 @@ def test_limit_comes_before_filter(spark):
     df = spark.range(10)
     found = outline.limit_then_filter(df, [F.asc("id")], 4, F.col("id") % 2 == 1)
     assert sorted(r.id for r in found.collect()) == [1, 3]
+
+
+def test_group_without_a_key_is_kept(spark):
+    df = spark.createDataFrame([(None, i) for i in range(4)] + [("a", 9)], "g string, i int")
+    found = outline.group_outline(df, ["g"], [F.col("i")], [F.asc("i")], [], top=5, per_group=3)
+    assert sorted([(r.g, r.n_items, r.n_more, [x.i for x in r["items"]]) for r in found.collect()], key=repr) == [
+        ("a", 1, 0, [9]),
+        (None, 4, 1, [0, 1, 2]),
+    ]

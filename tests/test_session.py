@@ -13,7 +13,7 @@ def pretend(master, folder=None):
 
 
 def test_folder_is_read_from_the_session():
-    assert shared_folder(pretend("spark://host:1", "s3://bucket/shared/")) == "s3://bucket/shared"
+    assert shared_folder(pretend("spark://host:1", "hdfs://host/shared/")) == "hdfs://host/shared"
 
 
 def test_cluster_needs_the_setting():

@@ -142,8 +142,10 @@ def test_predictions_are_observed_comments(spark, folder):
 
 def test_accuracy(spark):
     df = frame(spark, [row(1, "a"), row(1, "b"), row(2, "a", group="h"), row(2, None, group="h")])
-    predictions = spark.createDataFrame([(1, "g", "a"), (2, "h", "a")], f"{m.ORDER} bigint, {m.GROUP} string, predicted_comment string")
-    assert sorted(tuples(similar.prediction_accuracy(predictions, df))) == [("g", 2, 1, 0.5), ("h", 1, 1, 1.0)]
+    df = df.unionAll(frame(spark, [row(3, "x", group=None)]))
+    predictions = spark.createDataFrame([(1, "g", "a"), (2, "h", "a"), (3, None, "y")], f"{m.ORDER} bigint, {m.GROUP} string, predicted_comment string")
+    found = sorted(tuples(similar.prediction_accuracy(predictions, df)), key=repr)
+    assert found == [("g", 2, 1, 0.5), ("h", 1, 1, 1.0), (None, 1, 0, 0.0)]
 
 
 @pytest.mark.parametrize("orders", [list(range(40)), CROWDED])
