@@ -7,8 +7,10 @@ from compare import connection, differences
 from samples import final_plan
 
 import __spark_entry__ as spark_entry
+from orderlens.plans.oracle import ORACLE
+from orderlens.plans.registry import QUERIES
 
-NAMES = list(spark_entry.queries())
+NAMES = list(QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -35,4 +37,5 @@ def test_entry(spark):
 
 
 def test_every_query_has_a_counterpart():
-    assert set(spark_entry.queries()) == set(spark_entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(spark_entry.queries()) and set(ORACLE) <= set(spark_entry.oracle_sql())
