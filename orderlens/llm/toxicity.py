@@ -35,6 +35,8 @@ HIDDEN = 8
 ATTENTION = 8
 WINDOW, STRIDE = 48, 36
 EPOCHS, BATCH, RATE = 6, 64, 0.01
+# Share of words whose own embedding is left out in a batch.
+UNKNOWN = 0.4
 # Windows that a clean document gives per epoch, its most suspicious ones.
 HARD = 2
 SEED = 3
@@ -191,8 +193,14 @@ class Network:
             out[part] = self.logits(gates, grid)
         return out, first, begin, size
 
-    def gradients(self, words: Words, ids: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> dict[str, np.ndarray]:
-        """Gradients of the weighted logistic loss of windows; id -1 is no word."""
+    def gradients(
+        self, words: Words, ids: np.ndarray, labels: np.ndarray, weights: np.ndarray, known: np.ndarray | None = None
+    ) -> dict[str, np.ndarray]:
+        """Gradients of the weighted logistic loss of windows; id -1 is no word.
+
+        ``known`` says by word number which embeddings count; the others are
+        zero, so that their characters must tell.
+        """
         w, H = self.w, HIDDEN
         used, local = np.unique(ids, return_inverse=True)
         local = local.reshape(ids.shape).astype(np.int64)
@@ -203,6 +211,8 @@ class Network:
         within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         grams = words.grams[np.repeat(starts, sizes) + within]
         inputs = self.inputs(own, grams, sizes)
+        if known is not None:
+            inputs[:, :WORD_SIZE] *= known[used, None]
         gates = self.gates(inputs)
         kept = {"ahead": [], "back": []}
         states = np.concatenate([self._read(gates, local, way, kept[way]) for way in WAYS], axis=2)
@@ -236,6 +246,8 @@ class Network:
             d_gates = d_gates[:-1]
             g[f"{way}_x"], g[f"{way}_b"] = inputs.T @ d_gates, d_gates.sum(axis=0)
             d_inputs += d_gates @ w[f"{way}_x"].T
+        if known is not None:
+            d_inputs[:, :WORD_SIZE] *= known[used, None]
         g["words"] = np.zeros_like(w["words"])
         np.add.at(g["words"], own, d_inputs[:, :WORD_SIZE])
         g["grams"] = np.zeros_like(w["grams"])
@@ -311,7 +323,8 @@ def train(texts: list[str | None], toxic: list[int], epochs: int = EPOCHS, seed:
             weight = np.where(label > 0, 0.5 / share, 0.5 / (1 - share) / HARD).astype(np.float32) / len(part)
             step += 1
             rate = RATE * np.sqrt(1 - 0.999**step) / (1 - 0.9**step) * (1 - 0.8 * epoch / epochs)
-            for name, slope in net.gradients(words, grid, label, weight).items():
+            known = rng.random(len(words)) >= UNKNOWN
+            for name, slope in net.gradients(words, grid, label, weight, known).items():
                 m, v = moments[name]
                 m += 0.1 * (slope - m)
                 v += 0.001 * (slope**2 - v)
