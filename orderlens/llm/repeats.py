@@ -282,11 +282,12 @@ def _windows(groups: DataFrame, min_bytes: int) -> DataFrame:
                 a, b = np.frombuffer(digest, ">i8").tolist()
                 yield {"h": row["h"], "c_a": row["c_a"], "c_b": row["c_b"], "w_a": a, "w_b": b, "j": at - start}
 
-    one = groups.dropDuplicates(CONTEXT)
     schema = "h bigint, c_a bigint, c_b bigint, w_a bigint, w_b bigint, j bigint"
-    rows = store(map_rows(one.select(*CONTEXT, "left", "right"), windows, schema), "windows")
-    again = rows.groupBy("w_a", "w_b").count().filter("count > 1").select("w_a", "w_b")
-    return rows.join(again, ["w_a", "w_b"]).select(*CONTEXT, F.col("j").alias("l"), (min_bytes - F.col("j")).alias("r"))
+    rows = store(map_rows(groups.select(*CONTEXT, "left", "right"), windows, schema), "windows")
+    # A window stands in the contexts of all grams within it, so it is counted per gram and place of the gram.
+    window = ["h", "j", "w_a", "w_b"]
+    again = rows.groupBy(*window).count().filter("count > 1").select(*window)
+    return rows.join(again, window).select(*CONTEXT, F.col("j").alias("l"), (min_bytes - F.col("j")).alias("r"))
 
 
 def _repeats(groups: DataFrame, min_bytes: int) -> DataFrame:
@@ -332,7 +333,7 @@ def _extents(marked: DataFrame, occurrences: DataFrame, min_bytes: int, group: i
         whole = whole.unionByName(store(_repeats(small, min_bytes), "repeats"))
         if large.isEmpty():
             return whole
-        crowded = groups.join(large, "g", "left_semi")
+        crowded = groups.join(large, "g", "left_semi").dropDuplicates(CONTEXT)
         if unit:
             groups = store(_refined(crowded, min_bytes, unit), "groups")
     counted = _windows(crowded, min_bytes)
