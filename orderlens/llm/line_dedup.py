@@ -4,8 +4,8 @@ A text's lines are hashed, and a rolling hash over each line and the one
 before decides whether a chunk ends there. Boundaries depend on nearby lines
 only, so a passage of lines is cut alike wherever it stands. A chunk with at
 least two lines that have a word is removed wherever it repeats, except at its
-first place (smallest doc_id, then place in the text). Chunks are found by
-hash and compared by their bytes.
+first place (smallest doc_id, then place in the text). Repeated chunks are
+found by two 64-bit hashes and removed if their bytes equal those of the first.
 """
 
 from __future__ import annotations
@@ -48,18 +48,28 @@ def _worded(lines: Column) -> Column:
     return F.size(F.filter(lines, lambda x: x.rlike(HAS_WORD)))
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """(key_a, key_b, places): the places of the chunks to remove from each row of ``docs``."""
+def _marks(docs: DataFrame) -> DataFrame:
+    """(key_a, key_b, marks): the chunks of each row of ``docs`` whose hash repeats, with their place and whether they are the first."""
     rows = docs.filter("text is not null").select("doc_id", *text_key("doc_id", "text"), chunks(F.col("text")).alias("chunks"))
     one = rows.select("doc_id", *KEYS, F.posexplode("chunks").alias("place", "lines"))
     one = one.filter(F.size("lines") >= MIN_LINES).filter(_worded(F.col("lines")) >= MIN_LINES)
-    one = one.select("doc_id", *KEYS, "place", F.array_join("lines", "\n").alias("chunk")).withColumn("h", F.xxhash64("chunk"))
-    again = store(one.groupBy("h").count().filter("count > 1").select("h"), "repeated")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", *KEYS, "place")
-    candidates = store(one.join(again, "h").select("h", "chunk", order.alias("at")), "candidates")
-    first = candidates.groupBy("h", "chunk").agg(F.min("at").alias("first"))
-    later = candidates.join(first, ["h", "chunk"]).filter(F.col("at") != F.col("first"))
-    return later.groupBy("at.key_a", "at.key_b").agg(F.collect_set("at.place").alias("places"))
+    body = F.array_join("lines", "\n")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", *KEYS, "place").alias("at")
+    slim = store(one.select(F.xxhash64(body).alias("h"), F.xxhash64(F.lit(7), body).alias("g"), order), "chunks")
+    # Rows that are equal have the same places.
+    again = slim.groupBy("h", "g").agg(F.min("at").alias("first"), F.max("at").alias("last")).filter("first != last")
+    mark = F.struct("at.place", "h", "g", (F.col("at") == F.col("first")).alias("first"))
+    found = slim.join(again.select("h", "g", "first"), ["h", "g"])
+    return found.groupBy("at.key_a", "at.key_b").agg(F.collect_set(mark).alias("marks"))
+
+
+def _repeated(marked: DataFrame) -> DataFrame:
+    """(key_a, key_b, places): the chunks that have the same bytes as the first of their hash."""
+    own = marked.filter("marks is not null").select(*KEYS, "marks", chunks(F.col("row.text")).alias("chunks"))
+    one = own.select(*KEYS, "chunks", F.inline("marks")).withColumn("chunk", F.array_join(F.get("chunks", F.col("place")), "\n"))
+    first = one.filter("first").select("h", "g", F.col("chunk").alias("first_chunk")).dropDuplicates(["h", "g"])
+    later = one.filter("not first").select("h", "g", *KEYS, "place", "chunk").join(first, ["h", "g"])
+    return later.filter("chunk = first_chunk").groupBy(*KEYS).agg(F.collect_set("place").alias("places"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -72,9 +82,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     doc_ids come last. An empty table gives an empty result. All columns are
     carried in ``row``, whatever their names.
     """
-    removed = repeated_chunks(docs)
-    rows = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"), *text_key("doc_id", "text"))
-    joined = rows.join(removed, KEYS, "left")
+    rows = docs.select(F.struct("*").alias("row"), *text_key("doc_id", "text"))
+    marked = rows.join(_marks(docs), KEYS, "left")
+    # Both sides are dealt out by the key already, so this join moves no texts.
+    joined = marked.join(_repeated(marked), KEYS, "left").withColumn("text", F.col("row.text"))
     touched = F.col("places").isNotNull()
     split = F.when(touched, chunks(F.col("text")))
     cut = joined.withColumn("split", split)
@@ -96,7 +107,6 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """
     found = dedup_lines(docs)
     stays = (F.col("n_removed") == 0) | F.col("kept").rlike(HAS_WORD)
-    values = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
-    columns = [values.get(c, F.col("row")[c]).alias(c) for c in docs.columns]
-    changed = [F.when(F.col("n_removed") > 0, v).otherwise(F.col("row")[c]).alias(c) if c == "n_chars" else v for c, v in zip(docs.columns, columns)]
-    return found.filter(stays).select(*changed)
+    chars = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("row")["n_chars"])
+    values = {"text": F.col("kept"), "n_chars": chars}
+    return found.filter(stays).select([values.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
