@@ -1,0 +1,110 @@
+from __future__ import annotations
+
+import html
+import re
+
+import odd
+import pytest
+
+from orderlens.llm import html_text
+from orderlens.llm.common import table
+
+P = "Some prose, with commas, that is long enough to count as a paragraph of an article."
+
+
+def article(page):
+    """The text of the generated pages' one article element."""
+    body = re.search(r"<article>(.*?)</article>", page, re.DOTALL)[1].replace("<br>", " ")
+    parts = (" ".join(html.unescape(re.sub(r"<[^>]+>", "", b)).split()) for b in re.split(r"</?(?:p|h1)>", body))
+    return "\n\n".join(p for p in parts if p)
+
+
+def test_table(spark, folder):
+    pages = table(spark, folder, "pages")
+    want = {r.page_id: (r.url, article(r.html), len(article(r.html))) for r in pages.collect()}
+    assert {r.page_id: (r.url, r.text, r.n_chars) for r in html_text.extract(pages).collect()} == want
+
+
+def test_odd_rows(spark):
+    got = html_text.extract(odd.pages(spark)).collect()
+    assert len(got) == len(odd.PAGE_ROWS)
+    assert sorted(((r.page_id, r.url, r.text) for r in got), key=repr) == sorted(
+        ((i, u, html_text.main_text(h)) for i, u, h in odd.PAGE_ROWS), key=repr
+    )
+    assert {r.text for r in got if r.page_id in (3, 4)} == {""}
+    assert all(r.n_chars == len(r.text) for r in got)
+    assert html_text.extract(odd.pages(spark, [])).collect() == []
+
+
+@pytest.mark.parametrize(
+    "beside",
+    [
+        "<nav><p>{}</p></nav>",
+        "<header><p>{}</p></header>",
+        "<footer>{}</footer>",
+        "<aside><p>{}</p></aside>",
+        "<div class='ad'>{}</div>",
+        "<div class=\"site sidebar-left\"><p>{}</p></div>",
+        "<div id=cookie-notice><p>{}</p></div>",
+        "<section id='comments'><p>{}</p><p>{}</p></section>",
+        "<ol class='comment-list'><li>{}</li></ol>",
+        "<form><p>{}</p><input value=x></form>",
+        "<script>document.write('<p>{}</p>')</script>",
+        "<style>p:after {{ content: '{}' }}</style>",
+        "<div hidden><p>{}</p></div>",
+        "<div style='display: none'>{}</div>",
+        "<div role=navigation>{}</div>",
+        "<noscript><p>{}</p></noscript>",
+        "<!-- <p>{}</p> -->",
+        "<textarea>{}</textarea>",
+    ],
+)
+@pytest.mark.parametrize("shell", ["<article>{}</article>", "<div id=content>{}</div>", "<table><tr><td>{}</table>"])
+def test_parts_beside_the_article_go(beside, shell):
+    other = beside.replace("{}", "Other text, which is long, and has commas, to look like an article.").replace("{{", "{").replace("}}", "}")
+    inner = f"<p>{P}</p>{other}<p>Second. {P}</p>"
+    want = f"{P}\n\nSecond. {P}"
+    for page in (shell.format(inner), other + shell.format(f"<p>{P}<p>Second. {P}") + other):
+        assert html_text.main_text(f"<html><body>{page}</body></html>") == want
+
+
+def test_references_white_space_and_nesting():
+    page = (
+        "<body><div class=story><h2>A &amp; B</h2><p>One\n\t two&nbsp;&lt;three&gt; &#233;&#x1F600; <b>bold</b><i>joined</i><br>next"
+        "<ul><li>first<li>second <a href='x'>link</a></ul><blockquote>said</blockquote><pre>a  b\nc</pre>tail</div></body>"
+    )
+    want = "A & B\n\nOne two <three> é\U0001f600 boldjoined next\n\nfirst\n\nsecond link\n\nsaid\n\na b c\n\ntail"
+    assert html_text.main_text(page) == want
+
+
+def test_best_of_several_containers_with_siblings():
+    links = "<div>" + "".join(f"<a href='{n}'>Some link to another page</a> " for n in range(30)) + "</div>"
+    page = f"<body>{links}<div><p>{P}</p><p>{P}</p></div><div><p>{P}</p></div><h3>Short heading</h3>{links}</body>"
+    assert html_text.main_text(page) == "\n\n".join([P, P, P, "Short heading"])
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (None, ""),
+        ("", ""),
+        ("plain, no tags", "plain, no tags"),
+        ("<p>", ""),
+        ("<p>open", "open"),
+        ("</p></div>text", "text"),
+        ("<p>a < b and c > d</p>", "a < b and c > d"),
+        ("<p title='a>b' data-x=\"<p>\">kept</p>", "kept"),
+        ("<script>never closed", ""),
+        ("<!-- never closed", ""),
+        ("<b><p>one</b> two</p>", "one two"),
+        ("<P>UPPER</P>", "UPPER"),
+    ],
+)
+def test_broken_markup(page, want):
+    assert html_text.main_text(page) == want
+
+
+def test_deep_and_long_pages():
+    assert html_text.main_text("<div>" * 20_000 + f"<p>{P}" + "</div>" * 20_000) == P
+    long = "word, " * 200_000
+    assert html_text.main_text(f"<article><p>{long}</article>") == " ".join(long.split())

@@ -1,0 +1,95 @@
+from __future__ import annotations
+
+import random
+
+import brute
+import odd
+import pytest
+
+from orderlens.llm import repeats
+from orderlens.llm.common import table
+
+
+def check(spark, rows, least, **options):
+    docs = spark.createDataFrame([(d, t) for d, t in rows], "doc_id bigint, text string").repartition(3)
+    found = repeats.remove_repeats(docs, least, **options).collect()
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, [tuple(s) for s in r.spans or []], r.kept_sha256) for r in found), key=repr)
+    want = []
+    for (d, _), (data, runs) in zip(rows, brute.removed_runs([t for _, t in rows], least)):
+        kept = brute.without(data, runs)
+        want.append((d, len(data), len(data) - len(kept), len(runs), runs, brute.sha(kept)))
+    assert got == sorted(want, key=repr)
+    return sum(len(w[4]) for w in want)
+
+
+def test_table(spark, folder):
+    rows = [(r.doc_id, r.text) for r in table(spark, folder, "documents").collect()]
+    assert check(spark, rows, 400) > 0
+
+
+def test_odd_rows(spark):
+    rows = [(r[0], r[1]) for r in odd.DOC_ROWS]
+    assert check(spark, rows, 400) > 0
+    assert repeats.remove_repeats(odd.documents(spark)).count() == len(rows)
+
+
+def test_no_rows(spark):
+    assert repeats.remove_repeats(odd.documents(spark, [])).collect() == []
+
+
+@pytest.mark.parametrize("letters, least", [("ab", 12), ("abcd", 8), ("abcdefgh", 5)])
+def test_random_texts(spark, letters, least):
+    pick = random.Random(least)
+    rows = [(n, odd.random_text(pick, pick.randrange(400), letters)) for n in range(60)]
+    assert check(spark, rows, least) > 0
+
+
+def test_repeats_within_a_text_and_runs(spark):
+    rows = [(1, "z" * 900), (2, "q" * 100 + "z" * 40), (3, "abc" * 300), (4, "xy" + "abc" * 20), (5, "unlike anything else " * 1)]
+    assert check(spark, rows, 40) == 4
+
+
+@pytest.mark.parametrize("group", [1, 3, 10])
+def test_crowded_groups_are_split(spark, group):
+    """A passage shorter than a repeat in many texts, with longer parts shared by some."""
+    pick = random.Random(group)
+    middle = odd.random_text(pick, 30, "abcdef")
+    sides = [odd.random_text(pick, 25, "abcdef") for _ in range(6)]
+    rows = [(n, pick.choice(sides) + middle + pick.choice(sides) + odd.random_text(pick, 30, "abcdef")) for n in range(80)]
+    assert check(spark, rows, 40, group=group) > 0
+
+
+def test_maximal_repeats_of_a_group():
+    rights = [b"abcdeX", b"abcdeY", b"abcZ", b"abcdeW"]
+    lefts = [b"12", b"12", b"12", b"9"]
+    got = {(left, right, tuple(sorted(members))) for left, right, members in repeats.maximal_repeats(rights, lefts, 3)}
+    # All four share "abc"; three of them two bytes to the left; two "abcde" with both.
+    assert got == {(2, 5, (0, 1)), (0, 5, (0, 1, 3)), (2, 3, (0, 1, 2)), (0, 3, (0, 1, 2, 3))}
+
+
+def test_groups_list_all_occurrences(spark):
+    shared = "".join(chr(97 + n * n % 23) for n in range(60))
+    rows = [(1, "A" + shared + "B"), (2, "CD" + shared + "E"), (3, "F" + shared), (4, "nothing of it")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = repeats.repeat_groups(docs, 50).collect()
+    groups = {}
+    for r in found:
+        groups.setdefault(r.repeat_id, set()).add((r.doc_id, r.start, r.length))
+    assert {(1, 1, 60), (2, 2, 60), (3, 1, 60)} in groups.values()
+    texts = dict(rows)
+    for members in groups.values():
+        assert len(members) > 1 and len({texts[d].encode()[s : s + n] for d, s, n in members}) == 1
+
+
+def test_chunks_of_long_texts(monkeypatch):
+    monkeypatch.setattr(repeats, "CHUNK", 500)
+    pick = random.Random(9)
+    data = odd.random_text(pick, 6000, "abc").encode()
+    anchors = repeats.Anchors(40)
+    places, hashes = anchors(data)
+    alone = repeats.Anchors(40)
+    for start in range(len(data) - 40 + 1):
+        place, value = alone(data[start : start + 40])
+        assert len(place) == 1
+        k = places.searchsorted(place[0] + start)
+        assert places[k] == place[0] + start and hashes[k] == value[0]

@@ -1,0 +1,93 @@
+from __future__ import annotations
+
+import random
+
+import odd
+
+from orderlens.llm import url_filter
+from orderlens.llm.common import table
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def parts(url):
+    if url is None or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    end = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
+    tail = rest[end:]
+    stop = min([tail.find(c) for c in "?#" if c in tail], default=len(tail))
+    return rest[:end].translate(LOWER), tail[:stop]
+
+
+def rule(host, path):
+    fits = [
+        r for r in url_filter.RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)
+    ]
+    return max(fits, key=lambda r: len(r.name), default=None)
+
+
+def check(df, rows):
+    got = df.collect()
+    assert len(got) == len(rows)
+    want = []
+    for i, url in rows:
+        host, path = parts(url)
+        r = rule(host, path)
+        want.append((i, url, host, path, r and r.name, r and r.verdict))
+    decided = [(r.page_id, r.url, r.host, r.path, r.rule, r.verdict if r.rule else None) for r in got]
+    assert sorted(decided, key=repr) == sorted(want, key=repr)
+    assert {r.verdict for r in got} <= {"allow", "block"}
+    return got
+
+
+URLS = [
+    "http://net/", "http://net", "http://NET/x", "http://a.net?q=/", "http://anet/", "http://x.example.net/en/", "http://example.net/en",
+    "http://example.net/EN/", "HTTP://Ä.Example.COM/de/?a=1&b=2", "http://example.com/de/", "http://www.example.com/de/a#b", "//org/fr/",
+    "x://org/fr/", "http://org/fr/://net/", "http://a.org#/fr/", "http://a.org?/fr/", "://", "http://", "", "http:///path", "http://user@net:80/",
+    "http://net/ \n", "http://b.example.net/en/de/fr/", "http://example.net.org/fr/x",
+]
+
+
+def test_rules_on_odd_urls(spark):
+    rows = [(n, u) for n, u in enumerate(URLS)] + [(None, None), (1, "http://net/")]
+    check(url_filter.judge(odd.pages(spark, [(i, u, None) for i, u in rows])), rows)
+
+
+def test_odd_rows(spark):
+    check(url_filter.judge(odd.pages(spark)), [(i, u) for i, u, _ in odd.PAGE_ROWS])
+    assert url_filter.judge(odd.pages(spark, [])).collect() == []
+
+
+def test_table_and_reruns(spark, folder):
+    pages = table(spark, folder, "pages")
+    rows = [(r.page_id, r.url) for r in pages.collect()]
+    first = check(url_filter.judge(pages), rows)
+    again = url_filter.judge(pages.repartition(5)).collect()
+    assert sorted(map(tuple, first)) == sorted(map(tuple, again))
+
+
+def test_one_label_only(spark):
+    pages = odd.pages(spark, [(1, "http://a.net/", None), (2, "http://b.com/", None)])
+    assert {r.page_id: r.verdict for r in url_filter.judge(pages).collect()} == {1: "block", 2: "block"}
+    pages = odd.pages(spark, [(2, "http://b.com/", None)])
+    assert [r.verdict for r in url_filter.judge(pages).collect()] == ["allow"]
+
+
+def test_held_out_accuracy_of_the_trees(spark):
+    """Labelled by how they look: spam has digits, parameters and depth."""
+    pick, rows = random.Random(1), []
+    for n in range(1500):
+        spam = n % 2
+        name = "".join(pick.choice("abcdefghij") for _ in range(6)) + ("".join(pick.choice("0123456789") for _ in range(6)) if spam else "")
+        tail = "".join(f"/{pick.randrange(100)}" for _ in range(4)) + "?a=1&b=2&c=3" if spam and pick.random() < 0.8 else "/page"
+        rows.append((n, f"http://{name}.com{tail}", float(spam)))
+    known = spark.createDataFrame([r for r in rows if r[0] % 5], "page_id bigint, url string, label double")
+    rest = odd.pages(spark, [(n, u, None) for n, u, _ in rows if n % 5 == 0])
+    got = {r.page_id: r.verdict == "block" for r in url_filter.judge(rest, rules=(), labelled=known).collect()}
+    assert sum(got[n] == bool(y) for n, _, y in rows if n % 5 == 0) >= 0.95 * len(got)
+
+
+def test_plan_has_no_python(spark, folder):
+    plan = url_filter.judge(table(spark, folder, "pages"))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "NestedLoop" not in plan
