@@ -71,33 +71,29 @@ frame AS (SELECT * FROM (SELECT * FROM base ORDER BY {LOAD_ORDER} LIMIT {m.LOAD_
 FRAME_CONTEXT = f"""{FRAME},
 ctx AS (SELECT *, row_number() OVER (ORDER BY {FRAME_ORDER}) AS pos FROM frame),
 own AS (SELECT ORDERNUMBER, list(pos) AS places FROM ctx GROUP BY ORDERNUMBER)"""
-GROUP_CONTEXT = f"""{WHOLE},
-ctx AS (SELECT *, row_number() OVER (PARTITION BY INGRD_GRP_NM ORDER BY {FRAME_ORDER}) AS pos FROM whole),
-own AS (SELECT ORDERNUMBER, INGRD_GRP_NM, list(pos) AS places FROM ctx GROUP BY ALL)"""
-
 QUERIES_CTE = f"vec AS (SELECT ORDERNUMBER, INGRD_GRP_NM, {LAG_LIST} FROM hist JOIN grp USING (INGRD_GRP_ID))"
 DISTANCE = " + ".join(f"(q.{c} - c.{c}) * (q.{c} - c.{c})" for c in m.TREND_COLUMNS)
 
 
-def _neighbours(own_keys: str, block: str) -> str:
-    """The five nearest commented records among the first 500 of other orders."""
-    complete = " AND ".join(f"q.{c} IS NOT NULL AND c.{c} IS NOT NULL" for c in m.TREND_COLUMNS)
+def _neighbours(source: str, asked: str, block: str) -> str:
+    """The five nearest of all commented records of other orders."""
+    complete = " AND ".join(f"{c} IS NOT NULL" for c in m.TREND_COLUMNS)
     return f"""{QUERIES_CTE},
+asked AS (SELECT * FROM vec WHERE {asked}),
 near AS (
-  SELECT q.ORDERNUMBER, q.INGRD_GRP_NM, c.ORDERNUMBER AS neighbour_order, c.ORDER_JRNL_CMT_TXT AS neighbour_comment,
-         {DISTANCE} AS distance
-  FROM vec q LEFT JOIN own o USING ({own_keys})
-  JOIN ctx c ON {block} c.ORDERNUMBER <> q.ORDERNUMBER
-   AND c.pos - coalesce(len(list_filter(o.places, lambda p: p < c.pos)), 0) <= {m.CONTEXT_ROWS}
-  WHERE c.ORDER_JRNL_CMT_TXT IS NOT NULL AND {complete}),
+  SELECT q.ORDERNUMBER, q.INGRD_GRP_NM,
+         arg_min({{'o': c.ORDERNUMBER, 'c': c.ORDER_JRNL_CMT_TXT, 'd': {DISTANCE}}}, ({DISTANCE}, c.ORDERNUMBER, c.ORDER_JRNL_CMT_TXT), 5) AS best
+  FROM (SELECT * FROM asked WHERE {complete}) q
+  JOIN (SELECT * FROM {source} WHERE ORDER_JRNL_CMT_TXT IS NOT NULL AND {complete}) c
+    ON {block} c.ORDERNUMBER <> q.ORDERNUMBER
+  GROUP BY 1, 2),
 knn AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY ORDERNUMBER, INGRD_GRP_NM
-                                    ORDER BY distance, neighbour_order, neighbour_comment) AS INT) AS rank
-  FROM near QUALIFY rank <= 5)"""
+  SELECT ORDERNUMBER, INGRD_GRP_NM, x.o AS neighbour_order, x.c AS neighbour_comment, x.d AS distance, CAST(rank AS INT) AS rank
+  FROM (SELECT ORDERNUMBER, INGRD_GRP_NM, unnest(best) AS x, generate_subscripts(best, 1) AS rank FROM near))"""
 
 
-KNN_FRAME = f"{FRAME_CONTEXT},\n{_neighbours('ORDERNUMBER', '')}"
-KNN_GROUP = f"{GROUP_CONTEXT},\n{_neighbours('ORDERNUMBER, INGRD_GRP_NM', 'c.INGRD_GRP_NM = q.INGRD_GRP_NM AND')}"
+KNN_FRAME = f"{WHOLE},\n{_neighbours('whole', f'ORDERNUMBER % {r.QUERY_SET} = 0', '')}"
+KNN_GROUP = f"{WHOLE},\n{_neighbours('whole', 'true', 'c.INGRD_GRP_NM = q.INGRD_GRP_NM AND')}"
 
 
 def _features(source: str, keep: str) -> str:
@@ -145,7 +141,7 @@ patterns AS (
 
 
 def _predictions(source: str) -> str:
-    return f"""{_features("vec", "ORDERNUMBER, INGRD_GRP_NM")},
+    return f"""{_features("asked", "ORDERNUMBER, INGRD_GRP_NM")},
 {_patterns(source)},
 ballots AS (
   SELECT ORDERNUMBER, INGRD_GRP_NM, neighbour_comment, count(*) AS votes, SUM(distance) AS total,
@@ -393,7 +389,7 @@ SELECT ORDERNUMBER, INGRD_GRP_ID, shape FROM shapes""",
 SELECT ORDERNUMBER, INGRD_GRP_NM, rank, neighbour_order, neighbour_comment, distance FROM knn""",
     "knn_blocked": f"""WITH {KNN_GROUP}
 SELECT ORDERNUMBER, INGRD_GRP_NM, rank, neighbour_order, neighbour_comment, distance FROM knn""",
-    "predict_comment": f"WITH {KNN_FRAME}, {_predictions('frame')} SELECT * FROM predictions",
+    "predict_comment": f"WITH {KNN_FRAME}, {_predictions('whole')} SELECT * FROM predictions",
     "prediction_batch": f"WITH {KNN_GROUP}, {_predictions('whole')} SELECT * FROM predictions",
     "predict_accuracy": f"""WITH {KNN_GROUP}, {_predictions('whole')}
 SELECT INGRD_GRP_NM, count(*) AS n_comments,

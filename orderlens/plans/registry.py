@@ -26,6 +26,9 @@ BASE_TERM = r"high [an]|^5.*(small|large)$|7\.0$"
 PART_TERM = "and#1"
 PAGE_NUMBER = 3
 
+# Searches over all groups ask for the orders whose number is divisible by this, against all records.
+QUERY_SET = 20
+
 KEYS = [m.ORDER, m.GROUP]
 PAGE_KEYS = [frames.Key(m.LAST_TREND, descending=True), frames.Key(m.ORDER), frames.Key(m.GROUP_ID)]
 
@@ -279,20 +282,19 @@ def pattern_comments(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def knn_orders(spark: SparkSession, folder: str) -> DataFrame:
-    """Nearest records in the loaded frame's context, for every order and group."""
-    records = similar.first_records(loaded(spark, folder))
-    return similar.neighbour_rows(similar.nearest_orders(vectors(order_roles(spark, folder)), records), KEYS)
+    """Nearest records of all groups, for every group of the orders in the query set."""
+    queries = vectors(order_roles(spark, folder)).filter(f"{m.ORDER} % {QUERY_SET} = 0")
+    return similar.neighbour_rows(similar.nearest_orders(queries, whole_frame(spark, folder)), KEYS)
 
 
 def knn_blocked(spark: SparkSession, folder: str) -> DataFrame:
-    """Nearest records in the context of the order's own group, for every order and group."""
-    records = similar.first_records(whole_frame(spark, folder), [m.GROUP])
+    """Nearest records of the order's own group, for every order and group."""
     queries = vectors(order_roles(spark, folder))
-    return similar.neighbour_rows(similar.nearest_orders(queries, records, [m.GROUP]), KEYS)
+    return similar.neighbour_rows(similar.nearest_orders(queries, whole_frame(spark, folder), [m.GROUP]), KEYS)
 
 
 def predict_comment(spark: SparkSession, folder: str) -> DataFrame:
-    return predict.predict_from_frame(order_roles(spark, folder))
+    return predict.predict_from_frame(order_roles(spark, folder), QUERY_SET)
 
 
 def prediction_batch(spark: SparkSession, folder: str) -> DataFrame:

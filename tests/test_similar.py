@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 from samples import frame, random_rows, row, tuples
 
 from orderlens import model as m
@@ -10,18 +11,17 @@ from orderlens.plans import predict
 KEYS = [m.ORDER, m.GROUP]
 
 
-def leading(rows, blocks, order, block, size):
+def leading(rows, order, size):
     """The context by definition: the first rows of other orders, in frame order."""
-    others = [r for r in rows if r[1] != order and (not blocks or r[4] == block)]
-    return others[:size]
+    return [r for r in rows if r[1] != order][:size]
 
 
-def brute_force(ranked, queries, blocks, size, k):
+def brute_force(records, queries, blocks, k):
     found = {}
     for q in queries:
         near = []
-        for c in leading(ranked, blocks, q[1], q[4], size):
-            if c[0] is None or None in c[5:] or None in q[5:]:
+        for c in records:
+            if c[1] == q[1] or (blocks and c[4] != q[4]) or c[0] is None or None in c[5:] or None in q[5:]:
                 continue
             near.append((sum((x - y) ** 2 for x, y in zip(q[5:], c[5:])), c[1], c[0]))
         found[(q[1], q[4])] = [(order, comment, d) for d, order, comment in sorted(near)[:k]]
@@ -36,52 +36,102 @@ def queries_of(spark, df):
     return df.dropDuplicates(KEYS).select(*KEYS, *m.TREND_COLUMNS)
 
 
-# Order 0 has most rows: it fills the context of every other order.
+# Order 0 has most rows.
 CROWDED = [0] * 12 + list(range(1, 15))
 
 
+def asked(queries):
+    return [(None, r[m.ORDER], None, None, r[m.GROUP], *[r[c] for c in m.TREND_COLUMNS]) for r in queries.collect()]
+
+
 @pytest.mark.parametrize("orders", [list(range(40)), CROWDED])
 @pytest.mark.parametrize("blocks", [[], [m.GROUP]])
-@pytest.mark.parametrize("size", [6, 25, 400])
-def test_neighbours_equal_brute_force(spark, orders, blocks, size):
-    df = frame(spark, random_rows(220, orders, seed=size)).cache()
-    ranked = tuples(base.sorted_frame(df))
+@pytest.mark.parametrize("cell, chunk, sample", [(10_000, 50_000, 100_000), (20, 9, 10_000), (10, 50, 100)])
+def test_neighbours_equal_brute_force(spark, orders, blocks, cell, chunk, sample):
+    df = frame(spark, random_rows(260, orders, seed=cell)).cache()
     queries = queries_of(spark, df).cache()
-    rows = [(None, r[m.ORDER], None, None, r[m.GROUP], *[r[c] for c in m.TREND_COLUMNS]) for r in queries.collect()]
-    expected = brute_force(ranked, rows, blocks, size, 5)
-    records = similar.first_records(df, blocks, size)
-    assert as_dict(similar.nearest_orders(queries, records, blocks, size)) == expected
-    joined = similar.nearest_orders(queries, records, blocks, size, context_bytes=0, queries_per_chunk=9)
-    assert as_dict(joined) == expected
+    expected = brute_force(tuples(df), asked(queries), blocks, 5)
+    assert as_dict(similar.nearest_orders(queries, df, blocks, 5, cell, chunk, sample)) == expected
+
+
+def test_all_records_of_a_hot_group_are_searched(spark):
+    """A group with most rows, far more than any prefix once kept, cut into many cells."""
+    rows = random_rows(3000, range(700), groups=("hot",) * 9 + ("b", None), seed=21, gaps=0.001, span=30)
+    df = frame(spark, rows).cache()
+    queries = queries_of(spark, df).filter(f"{m.ORDER} % 7 = 0").cache()
+    expected = brute_force(rows, asked(queries), [m.GROUP], 5)
+    assert as_dict(similar.nearest_orders(queries, df, [m.GROUP], cell_rows=100, queries_per_chunk=40)) == expected
+    last = tuples(base.sorted_frame(df))[1000:]
+    assert {n[0] for near in expected.values() for n in near} & {r[1] for r in last}
+
+
+def test_cells_far_from_a_query_are_not_visited(spark):
+    """Records in clusters: most queries stay within theirs."""
+    rows = [row(n, "c", "g", [float(100 * (n % 16) + (n * k) % 7) for k in range(12)]) for n in range(1600)]
+    df = frame(spark, rows)
+    queries = queries_of(spark, df)
+    text = F.lit("all").alias("_text")
+    known = df.select(F.lit(0).alias("_block"), m.ORDER, m.COMMENT, *m.TREND_COLUMNS, text)
+    placed = similar._placed(known, similar._cells(known, 100, 10_000))
+    boxes = similar._boxes(placed)
+    assert sum(len(b[0]) for b in boxes.values()) >= 16
+    bounded = queries.select("*", text, F.lit(600.0).alias("_bound"))
+    assert similar._elsewhere(bounded, boxes).count() <= 3 * 1600
+
+
+def test_few_and_no_neighbours(spark):
+    rows = [row(1, "a", lags=[1.0] * 12), row(2, "b", lags=[2.0] * 12), row(3, None, lags=[1.0] * 12), row(4, "c", last=None)]
+    df = frame(spark, rows)
+    found = as_dict(similar.nearest_orders(queries_of(spark, df), df, cell_rows=1))
+    assert found == {(1, "g"): [(2, "b", 12.0)], (2, "g"): [(1, "a", 12.0)], (3, "g"): [(1, "a", 0.0), (2, "b", 12.0)], (4, "g"): []}
 
 
 def test_missing_blocks_match_missing_blocks(spark):
     df = frame(spark, random_rows(60, range(20), groups=("a", None), seed=2))
     queries = queries_of(spark, df)
-    records = similar.first_records(df, [m.GROUP])
-    one = as_dict(similar.nearest_orders(queries, records, [m.GROUP]))
+    one = as_dict(similar.nearest_orders(queries, df, [m.GROUP]))
     assert len(one) == queries.count()
-    assert one == as_dict(similar.nearest_orders(queries, records, [m.GROUP], context_bytes=0))
     assert any(near for (_, group), near in one.items() if group is None)
+    assert one == brute_force(tuples(df), asked(queries), [m.GROUP], 5)
 
 
 def test_one_block_is_the_whole_frame(spark):
     df = frame(spark, random_rows(80, range(30), groups=("only",), seed=4))
     queries = queries_of(spark, df)
-    whole = similar.nearest_orders(queries, similar.first_records(df))
-    blocked = similar.nearest_orders(queries, similar.first_records(df, [m.GROUP]), [m.GROUP])
-    assert as_dict(whole) == as_dict(blocked)
+    assert as_dict(similar.nearest_orders(queries, df)) == as_dict(similar.nearest_orders(queries, df, [m.GROUP]))
 
 
 def test_input_partitions_do_not_matter(spark):
     df = frame(spark, random_rows(120, range(30), seed=6))
     queries = queries_of(spark, df)
-    results = [
-        as_dict(similar.nearest_orders(queries.repartition(n), similar.first_records(df.repartition(n)))) for n in (1, 7)
-    ]
+    results = [as_dict(similar.nearest_orders(queries.repartition(n), df.repartition(n), cell_rows=15)) for n in (1, 7)]
     assert results[0] == results[1]
 
 
+@pytest.mark.parametrize("cell", [10_000, 10])
+def test_order_numbers_may_be_text(spark, cell):
+    df = frame(spark, random_rows(150, range(30), seed=8))
+    queries = queries_of(spark, df)
+    as_text = F.concat(F.lit("No "), F.lpad(F.col(m.ORDER).cast("string"), 4, "0"))
+    found = similar.nearest_orders(queries.withColumn(m.ORDER, as_text), df.withColumn(m.ORDER, as_text), cell_rows=cell)
+    expected = as_dict(similar.nearest_orders(queries, df))
+    assert as_dict(found) == {
+        (f"No {o:04d}", g): [(f"No {x[0]:04d}", *x[1:]) for x in near] for (o, g), near in expected.items()
+    }
+    predicted = similar.predict_comments(queries.withColumn(m.ORDER, as_text), df.withColumn(m.ORDER, as_text))
+    assert all("No " in r.reason for r in predicted.collect() if "carry" in r.reason)
+
+
+@pytest.mark.parametrize("size", [3, 600])
+def test_leading_rows_of_any_number(spark, size):
+    df = frame(spark, random_rows(4000, range(900), groups=("hot", "hot", "hot", "b"), seed=3))
+    records = similar.first_records(df, [m.GROUP], size)
+    ranked = tuples(base.sorted_frame(df))
+    for group in ("hot", "b"):
+        found = sorted((r for r in records.collect() if r[m.GROUP] == group), key=lambda r: r.position)
+        assert [tuple(r)[: len(m.BASE_COLUMNS)] for r in found] == [r for r in ranked if r[4] == group][: 2 * size]
+
+
 def test_context_bound(spark):
     df = frame(spark, random_rows(300, CROWDED, seed=9))
     assert similar.first_records(df, size=20).count() == 40
@@ -91,10 +141,9 @@ def test_context_bound(spark):
 def test_empty_frame(spark):
     df = frame(spark, [])
     queries = frame(spark, [row(1, last=1.0)]).select(*KEYS, *m.TREND_COLUMNS)
-    records = similar.first_records(df)
-    assert as_dict(similar.nearest_orders(queries, records)) == {(1, "g"): []}
-    assert as_dict(similar.nearest_orders(queries, records, context_bytes=-1)) == {(1, "g"): []}
-    found = similar.predict_comments(queries, records, df).collect()[0]
+    assert as_dict(similar.nearest_orders(queries, df)) == {(1, "g"): []}
+    assert as_dict(similar.nearest_orders(queries, df, [m.GROUP])) == {(1, "g"): []}
+    found = similar.predict_comments(queries, df).collect()[0]
     assert (found.predicted_comment, found.reason) == similar.NO_DATA
 
 
@@ -159,7 +208,7 @@ def test_context_records(spark, orders):
         mine = sorted([r for r in found if r.query_order == order], key=lambda r: r.place)
         assert [r.place for r in mine] == list(range(1, len(mine) + 1))
         assert [(r.order_number, r.comment, r.trends) for r in mine] == [
-            (c[1], c[0], dict(zip(m.TREND_COLUMNS, c[5:]))) for c in leading(ranked, [], order, None, 15)
+            (c[1], c[0], dict(zip(m.TREND_COLUMNS, c[5:]))) for c in leading(ranked, order, 15)
         ]
 
 
