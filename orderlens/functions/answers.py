@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 FENCE_START = r"```json\s*"
 FENCE = "```"
 OBJECT_PATTERN = r"(?s)^\s*\{.*\}\s*$"
-SELECT_PATTERN = r"(?i)(?:```sql)?\s*(SELECT[\s\S]+?)(?:```|\z)"
+# The first SELECT that something follows, to the end of the text.
+SELECT_PATTERN = r"(?is)select.+"
 SPACES = " \t\n\r\f\u000b"
 BAD_PREDICTION = ("Error: Could not generate prediction", "Failed to parse AI response into JSON format")
 NO_SQL = "-- Could not generate a valid SQL query"
@@ -28,11 +29,13 @@ def strip_fences(text: Column) -> Column:
 def _only_value(text: Column, schema: str) -> Column:
     """The one JSON value in ``text`` read with ``schema``; NULL if there is not exactly one.
 
-    Read as the single element of an array, since the reader ignores
-    whatever follows a complete value.
+    The reader ignores whatever follows a complete value, so the text is read
+    inside an array and inside an object: text that closes one of them early
+    breaks the other.
     """
-    values = F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"array<{schema}>", _STRICT)
-    return F.when(F.size(values) == 1, F.get(values, F.lit(0)))
+    listed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"array<{schema}>", _STRICT)
+    named = F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), f"struct<v:{schema}>", _STRICT)
+    return F.when((F.size(listed) == 1) & named["v"].isNotNull(), F.get(listed, F.lit(0)))
 
 
 def _object(text: Column, schema: str) -> Column:
@@ -70,7 +73,7 @@ def extract_queries(df: DataFrame, answer: str) -> DataFrame:
         "*",
         _object(text, "struct<sql_query:string,explanation:string>").alias("_found"),
         _only_value(text, "string").isNotNull().alias("_json"),
-        F.nullif(F.btrim(F.regexp_extract(text, SELECT_PATTERN, 1), F.lit(SPACES)), F.lit("")).alias("_select"),
+        F.nullif(F.btrim(F.regexp_extract(text, SELECT_PATTERN, 0), F.lit(SPACES)), F.lit("")).alias("_select"),
     )
     known = F.col("_found").isNotNull()
     query = (

@@ -8,8 +8,10 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orderlens import model as m
 from orderlens.functions.answers import extract_queries
 from orderlens.operators.frames import deny_columns
+from orderlens.sources.roles import OrderRoles
 
 # Outcome texts.
 NO_CONTEXT = "We couldn't connect to the database. Please try again later or contact support."
@@ -35,14 +37,37 @@ class QueryResult:
     column_count: int | None = None
 
 
+def publish(df: DataFrame, name: str) -> None:
+    """Make ``df`` known to SQL, without its denied columns: a query that names one fails."""
+    deny_columns(df).createOrReplaceTempView(name)
+
+
+def register(roles: OrderRoles) -> None:
+    """Make the six tables known to SQL under their table names."""
+    names = (m.HIST_TABLE, m.HEADER_TABLE, m.DETAIL_TABLE, m.JOURNAL_TABLE, m.JOURNAL_TYPE_TABLE, m.GROUP_TABLE)
+    for name, df in zip(names, (roles.hist, roles.hdr, roles.detl, roles.jrnl, roles.typ, roles.grp)):
+        publish(df, name)
+
+
+FILES_AS_TABLES = "spark.sql.runSQLOnFiles"
+
+
 def select(spark: SparkSession, sql: str) -> DataFrame:
     """The result of one SELECT, without denied columns.
 
-    The text is read as a subquery, where Spark accepts a query but no
-    command and no second statement.
+    The text is read as a subquery and as a named query, where Spark accepts
+    a query but no command and no second statement; a text that closes one of
+    them early does not fit the other. Files cannot be read as tables. Columns
+    denied by name are absent from the views themselves, see ``publish``.
     """
     text = sql.strip().rstrip(";")
-    return deny_columns(spark.sql(f"SELECT * FROM (\n{text}\n)"))
+    before = spark.conf.get(FILES_AS_TABLES)
+    spark.conf.set(FILES_AS_TABLES, "false")
+    try:
+        spark.sql(f"WITH q AS (\n{text}\n) SELECT * FROM q")
+        return deny_columns(spark.sql(f"SELECT * FROM (\n{text}\n) AS q"))
+    finally:
+        spark.conf.set(FILES_AS_TABLES, before)
 
 
 def evaluate(df: DataFrame) -> int:

@@ -335,18 +335,18 @@ ENVELOPE_SQL = [
 
 
 def adhoc_top_orders(spark: SparkSession, folder: str) -> DataFrame:
-    order_sources.register(order_roles(spark, folder))
+    ask.register(order_roles(spark, folder))
     return ask.select(spark, TOP_ORDERS_SQL)
 
 
 def adhoc_join_cap(spark: SparkSession, folder: str) -> DataFrame:
-    order_sources.register(order_roles(spark, folder))
+    ask.register(order_roles(spark, folder))
     return ask.select(spark, JOIN_CAP_SQL)
 
 
 def adhoc_envelope(spark: SparkSession, folder: str) -> DataFrame:
     """One row per outcome of running a query."""
-    order_sources.register(order_roles(spark, folder))
+    ask.register(order_roles(spark, folder))
     rows = []
     for label, sql in ENVELOPE_SQL:
         outcome = ask.run_query(spark, sql, "orders", context=None if label == "no context" else "")

@@ -163,13 +163,6 @@ def vectors(roles: OrderRoles) -> DataFrame:
     return roles.hist.join(roles.grp, GROUP_ID).select(ORDER, GROUP, *TREND_COLUMNS)
 
 
-def register(roles: OrderRoles) -> None:
-    """Make the six tables known to SQL under their table names."""
-    names = (m.HIST_TABLE, m.HEADER_TABLE, m.DETAIL_TABLE, m.JOURNAL_TABLE, m.JOURNAL_TYPE_TABLE, m.GROUP_TABLE)
-    for name, df in zip(names, (roles.hist, roles.hdr, roles.detl, roles.jrnl, roles.typ, roles.grp)):
-        df.createOrReplaceTempView(name)
-
-
 def stored(roles: OrderRoles) -> OrderRoles:
     """Copies of the six tables in the shared folder, read from the source once."""
     return OrderRoles(*[store(getattr(roles, f.name), f.name) for f in fields(roles)])

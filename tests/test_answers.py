@@ -29,6 +29,15 @@ PREDICTIONS = [
     '{"predicted_comment": "`` fence ```in``` text"}',
     '{predicted_comment: "c"}',
     '{"predicted_comment": "c" /* note */}',
+    '{"predicted_comment": "a", "reason": "b"}] {"c": 1}',
+    '{"predicted_comment": "a"}]{}',
+    '{"predicted_comment": "a"}} {"predicted_comment": "b"}',
+    '{"predicted_comment": "a"}, "v": {"predicted_comment": "b"}',
+    '{"predicted_comment": "a"}] [{"predicted_comment": "b"}',
+    '{"predicted_comment": "a"}, {"predicted_comment": "b"}] {}',
+    '{"predicted_comment": "]}"}',
+    '{"predicted_comment": "a"}}',
+    '1] {"predicted_comment": "a"}',
     "[1]",
     "null",
     "7",
@@ -74,6 +83,11 @@ QUERIES = [
     ("[1]", ("", a.NOT_AN_OBJECT)),
     ('["SELECT 1"]', ("", a.NOT_AN_OBJECT)),
     ('"SELECT 1"', ("", a.NOT_AN_OBJECT)),
+    ("1] SELECT 2", ("SELECT 2", a.SQL_FOUND)),
+    ('"x"] SELECT 2', ("SELECT 2", a.SQL_FOUND)),
+    ('{"sql_query": "x"}] select 3 {"y": 1}', ("select 3 {\"y\": 1}", a.SQL_FOUND)),
+    ("SELECT", ("", a.BAD_SQL)),
+    ("no SELECT or select\n1", ("SELECT or select\n1", a.SQL_FOUND)),
 ]
 
 

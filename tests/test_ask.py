@@ -7,7 +7,7 @@ from orderlens.plans import ask
 
 @pytest.fixture(scope="module", autouse=True)
 def view(spark):
-    spark.createDataFrame([(1, "a", 9), (2, "b", 8)], "id int, name string, Sold_To_Id int").createOrReplaceTempView("asked")
+    ask.publish(spark.createDataFrame([(1, "a", 9), (2, "b", 8)], "id int, name string, Sold_To_Id int"), "asked")
 
 
 def test_rows(spark):
@@ -47,6 +47,17 @@ def test_nothing_found(spark):
         "SELECT 1) t; DROP VIEW asked; SELECT * FROM (SELECT 2",
         "SET spark.sql.shuffle.partitions=1",
         "-- Could not generate a valid SQL query",
+        "SELECT id, Sold_To_Id AS buyer FROM asked",
+        "SELECT id + sold_to_id AS x FROM asked",
+        "SELECT x FROM (SELECT SOLD_TO_ID AS x FROM asked)",
+        "SELECT id FROM asked ORDER BY Sold_To_Id",
+        "SELECT id FROM asked) UNION ALL (SELECT Sold_To_Id FROM asked",
+        "SELECT id FROM asked) UNION ALL (SELECT id FROM asked",
+        "SELECT id FROM asked) AS p JOIN (SELECT id FROM asked",
+        "SELECT id FROM asked) SELECT * FROM asked -- ",
+        "SELECT id FROM asked), r AS (SELECT 1",
+        "SELECT * FROM parquet.`/root/testdata/sf0.001/region.parquet`",
+        "TABLE parquet.`/root/testdata/sf0.001/region.parquet`",
     ],
 )
 def test_failures(spark, sql):
@@ -79,3 +90,14 @@ def test_outline_of_session_tables(spark):
     columns = session_columns(spark, "default").filter("table_name = 'asked'")
     lines = [r.line for r in outline_lines(schema_groups(columns)).orderBy("line_no").collect()]
     assert lines == ["Table: default.asked", "  - id (int, NULL)", "  - name (string, NULL)"]
+
+
+def test_denied_columns_are_not_in_the_views(spark):
+    assert spark.table("asked").columns == ["id", "name"]
+    found = ask.run_query(spark, "SELECT id AS sold_to, name FROM asked")
+    assert found.results.columns == ["name"]
+
+
+def test_files_can_be_read_again_afterwards(spark):
+    ask.run_query(spark, "SELECT 1 AS one")
+    assert spark.sql("SELECT count(*) FROM parquet.`/root/testdata/sf0.001/region.parquet`").first()[0] == 5
