@@ -130,7 +130,7 @@ def intervals(common: list[int], least: int) -> Iterator[tuple[int, int, int]]:
             stack.append((value, start))
 
 
-def maximal_repeats(rights: list[bytes], lefts: list[bytes], least: int) -> Iterator[tuple[int, int, list[int]]]:
+def maximal_repeats(rights: list[bytes], lefts: list[bytes], least: int) -> Iterator[tuple[int, int, np.ndarray]]:
     """(left length, right length, members) of all maximal repeats of ``least`` bytes or more.
 
     ``rights`` are the strings from the anchor on, ``lefts`` those before it,
@@ -156,7 +156,7 @@ def maximal_repeats(rights: list[bytes], lefts: list[bytes], least: int) -> Iter
             continue
         for extent, a, b in intervals(shared.tolist(), max(0, least - length)):
             if (child[a : b + 1] != child[a]).any():
-                yield extent, length, members[a : b + 1].tolist()
+                yield extent, length, members[a : b + 1]
 
 
 # ---------------------------------------------------------------- stages
@@ -290,14 +290,26 @@ def _windows(groups: DataFrame, min_bytes: int) -> DataFrame:
     return rows.join(again, window).select(*CONTEXT, F.col("j").alias("l"), (min_bytes - F.col("j")).alias("r"))
 
 
-def _repeats(groups: DataFrame, min_bytes: int) -> DataFrame:
-    """(h, c_a, c_b, group, l, r): members of the maximal repeats of each group."""
+def _repeats(groups: DataFrame, min_bytes: int, every: bool) -> DataFrame:
+    """(h, c_a, c_b, g, repeat, l, r): members of each group's maximal repeats.
+
+    With ``every`` a row per repeat and member; otherwise a row per member,
+    with the farthest that any of its repeats reach to the left and right.
+    """
 
     def solve(held: list[dict]) -> Iterator[dict]:
         rights, lefts = [x["right"] for x in held], [x["left"] for x in held]
-        for number, (l, r, members) in enumerate(maximal_repeats(rights, lefts, min_bytes)):
-            for i in members:
-                yield {c: held[i][c] for c in CONTEXT} | {"repeat": number, "g": held[i]["g"], "l": l, "r": r}
+        found = enumerate(maximal_repeats(rights, lefts, min_bytes))
+        if every:
+            rows = ((i, number, l, r) for number, (l, r, members) in found for i in members.tolist())
+        else:
+            far = np.zeros((2, len(held)), dtype=np.int64)
+            for _, (l, r, members) in found:
+                far[0, members] = np.maximum(far[0, members], l)
+                far[1, members] = np.maximum(far[1, members], r)
+            rows = ((i, 0, int(far[0, i]), int(far[1, i])) for i in np.flatnonzero(far[1]).tolist())
+        for i, number, l, r in rows:
+            yield {c: held[i][c] for c in CONTEXT} | {"repeat": number, "g": held[i]["g"], "l": l, "r": r}
 
     def work(rows: Iterator[dict]) -> Iterator[dict]:
         held: list[dict] = []
@@ -312,8 +324,8 @@ def _repeats(groups: DataFrame, min_bytes: int) -> DataFrame:
     return map_rows(groups.repartition("g").sortWithinPartitions("g"), work, schema)
 
 
-def _extents(marked: DataFrame, occurrences: DataFrame, min_bytes: int, group: int) -> DataFrame:
-    """(h, c_a, c_b, l, r, g, repeat): every context's part in a maximal repeat."""
+def _extents(marked: DataFrame, occurrences: DataFrame, min_bytes: int, group: int, every: bool = False) -> DataFrame:
+    """(h, c_a, c_b, l, r, g, repeat): every context's part in maximal repeats, see ``_repeats``."""
     at = F.min(F.struct("key_a", "key_b", "pos")).alias("at")
     contexts = store(
         occurrences.groupBy(*CONTEXT).agg(F.count("*").alias("n"), F.min("l").alias("l"), F.min("r").alias("r"), at),
@@ -330,7 +342,7 @@ def _extents(marked: DataFrame, occurrences: DataFrame, min_bytes: int, group: i
         sizes = groups.groupBy("g").count()
         large = store(sizes.filter(F.col("count") > group).select("g"), "large")
         small = groups.join(sizes.filter(F.col("count").between(2, group)).select("g"), "g", "left_semi")
-        whole = whole.unionByName(store(_repeats(small, min_bytes), "repeats"))
+        whole = whole.unionByName(store(_repeats(small, min_bytes, every), "repeats"))
         if large.isEmpty():
             return whole
         crowded = groups.join(large, "g", "left_semi").dropDuplicates(CONTEXT)
@@ -349,7 +361,7 @@ def repeat_groups(docs: DataFrame, min_bytes: int = MIN_BYTES, group: int = GROU
     """
     marked = _marked(docs, min_bytes)
     occurrences = _occurrences(marked, min_bytes)
-    extents = _extents(marked, occurrences, min_bytes, group).withColumnsRenamed({"l": "x", "r": "y"})
+    extents = _extents(marked, occurrences, min_bytes, group, True).withColumnsRenamed({"l": "x", "r": "y"})
     rows = occurrences.join(extents, CONTEXT)
     names = marked.select("doc_id", *KEY).distinct()
     return rows.join(names, KEY).select(

@@ -62,7 +62,7 @@ def test_crowded_groups_are_split(spark, group):
 def test_maximal_repeats_of_a_group():
     rights = [b"abcdeX", b"abcdeY", b"abcZ", b"abcdeW"]
     lefts = [b"12", b"12", b"12", b"9"]
-    got = {(left, right, tuple(sorted(members))) for left, right, members in repeats.maximal_repeats(rights, lefts, 3)}
+    got = {(left, right, tuple(sorted(members.tolist()))) for left, right, members in repeats.maximal_repeats(rights, lefts, 3)}
     # All four share "abc"; three of them two bytes to the left; two "abcde" with both.
     assert got == {(2, 5, (0, 1)), (0, 5, (0, 1, 3)), (2, 3, (0, 1, 2)), (0, 3, (0, 1, 2, 3))}
 
