@@ -1,4 +1,12 @@
-"""Lagged values and running totals over ordered series."""
+"""Lagged values and running totals over ordered series.
+
+Rows are cut into contiguous ranges of series and order, and every range is
+windowed by itself, led by the rows its lags reach back to and the sum so far.
+A series that holds a third of the data is thus spread over many ranges.
+
+Running totals are exact sums of the values rounded to ``SCALE`` decimals, so
+neither the cuts nor the order of partial sums can show in them.
+"""
 
 from __future__ import annotations
 
@@ -8,8 +16,13 @@ from pyspark.sql import functions as F
 from orderlens.model import LAGS, lag_name
 from orderlens.session import store
 
-# A series up to this many rows is sorted by one task; longer ones are split.
-SERIES_ROWS_PER_TASK = 5_000_000
+# Decimals of the values that running totals add up; a value or total beyond 10**30 is missing.
+SCALE = 8
+EXACT = f"decimal(38,{SCALE})"
+
+
+def _exact(value: Column) -> Column:
+    return value.try_cast(EXACT)
 
 
 def with_history(
@@ -19,48 +32,18 @@ def with_history(
     value: str,
     lags: int = LAGS,
     running: str | None = None,
-    rows_per_task: int = SERIES_ROWS_PER_TASK,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Add ``lags`` lag columns of ``value`` (oldest first) and a running total.
 
-    ``order`` must be unique within a series. The longest series is measured
-    first: if it fits one task, a plain window does the work in one shuffle.
-    Otherwise the rows are split into key ranges of at most about
-    ``rows_per_task`` rows, so that a series holding a third of the data is
-    spread over many tasks.
+    ``order`` must be unique within a series. ``ranges`` is the number of
+    ranges, by default that of shuffle partitions; it does not show in the
+    result.
     """
-    sizes = df.groupBy(*series).count().agg(F.max("count"), F.sum("count")).first()
-    longest, total = sizes[0] or 0, sizes[1] or 0
-    if longest <= rows_per_task:
-        return _plain(df, series, order, value, lags, running)
-    return _split(df, series, order, value, lags, running, 2 * -(-total // rows_per_task))
-
-
-def _plain(
-    df: DataFrame, series: list[str], order: list[str], value: str, lags: int, running: str | None
-) -> DataFrame:
-    window = Window.partitionBy(*series).orderBy(*order)
-    added: list[Column] = []
-    if running:
-        upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        added.append(F.sum(value).over(upto).alias(running))
-    added += [F.lag(value, k).over(window).alias(lag_name(k)) for k in range(lags, 0, -1)]
-    return df.select("*", *added)
-
-
-def _split(
-    df: DataFrame,
-    series: list[str],
-    order: list[str],
-    value: str,
-    lags: int,
-    running: str | None,
-    ranges: int,
-) -> DataFrame:
-    # Contiguous key ranges of even size. Stored, so that the range of a row
-    # stays the same in every later job.
+    count = [] if ranges is None else [ranges]
+    # Stored, so that the range of a row stays the same in every later job.
     ranged = store(
-        df.repartitionByRange(ranges, *series, *order).withColumn("_range", F.spark_partition_id()),
+        df.repartitionByRange(*count, *series, *order).withColumn("_range", F.spark_partition_id()),
         "series-ranges",
     )
     piece = [*series, "_range"]
@@ -73,7 +56,7 @@ def _split(
         .groupBy(*piece)
         .agg(F.sort_array(F.collect_list(F.struct(*order, F.col(value).alias("_value")))).alias("_tail"))
     )
-    totals = ranged.groupBy(*piece).agg(F.sum(value).alias("_total"))
+    totals = ranged.groupBy(*piece).agg(F.sum(_exact(F.col(value))).alias("_total"))
     pieces = (
         tails.unionByName(totals, allowMissingColumns=True)
         .groupBy(*piece)
@@ -98,11 +81,11 @@ def _split(
         *piece, "_row.*", F.lit(True).alias("_carried"), F.when(F.col("_at") == 0, F.col("_sum")).alias("_add")
     )
     own = ranged.select(
-        "*", F.col(value).alias("_value"), F.lit(False).alias("_carried"), F.col(value).alias("_add")
+        "*", F.col(value).alias("_value"), F.lit(False).alias("_carried"), _exact(F.col(value)).alias("_add")
     )
     inside = Window.partitionBy(*piece).orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    added = [F.sum("_add").over(upto).alias(running)] if running else []
+    added = [F.sum("_add").over(upto).cast("double").alias(running)] if running else []
     added += [F.lag("_value", k).over(inside).alias(lag_name(k)) for k in range(lags, 0, -1)]
     rows = own.unionByName(leading, allowMissingColumns=True).select("*", *added)
     return rows.filter(~F.col("_carried")).drop("_range", "_value", "_carried", "_add")
