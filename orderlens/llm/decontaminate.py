@@ -15,6 +15,7 @@ sides are shuffled by seed and hits are verified after a join by text.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,23 +43,28 @@ def _hashed(text: Column) -> Column:
 
 
 def _seeds(rows: DataFrame, array: str, masks: Sequence[str]) -> DataFrame:
-    """Every place of every mask: the rows' columns, ``at`` (from 0), ``span`` and ``seed``."""
+    """The seed of every mask at every place: the rows' columns, ``at`` (from 0) and ``seed``."""
     least = min(map(len, masks))
-    placed = rows.filter(F.size(array) >= least).select(
-        "*", F.explode(F.sequence(F.lit(0), F.size(array) - least)).alias("at")
-    )
+    # No filter on the size: it would be moved below and split every text once more.
+    places = F.when(F.size(array) >= least, F.sequence(F.lit(0), F.size(array) - least))
+    placed = rows.select("*", F.explode(places).alias("at"))
 
     def seed(mask: str) -> Column:
         picked = [F.get(F.col(array), F.col("at") + n) for n, c in enumerate(mask) if c == "1"]
         fits = F.col("at") + len(mask) <= F.size(array)
-        return F.struct(F.lit(len(mask)).alias("span"), F.when(fits, F.xxhash64(F.lit(mask), *picked)).alias("seed"))
+        return F.when(fits, F.xxhash64(F.lit(mask), *picked))
+
+    return placed.select("*", F.explode(F.array(*map(seed, masks))).alias("seed")).filter("seed is not null")
 
-    return placed.select("*", F.inline(F.array(*map(seed, masks)))).filter("seed is not null")
 
+def _agrees(doc: Column, size: Column, item: Column, doc_at: Column, item_at: Column, window: int, percent: int) -> Column:
+    """Whether some window that covers the hit has enough equal words.
 
-def _agrees(doc: Column, item: Column, doc_at: Column, item_at: Column, span: Column, window: int, percent: int) -> Column:
-    """Whether some window that covers the hit has enough equal words."""
-    width = F.least(F.lit(window), F.size(doc), F.size(item))
+    ``doc`` may be a part of the document's words around the hit, which is at
+    ``doc_at`` in it; ``size`` counts all of them.
+    """
+    span = F.col("span")
+    width = F.least(F.lit(window), size, F.size(item))
     shift = doc_at - item_at
     first = F.greatest(F.lit(0), item_at + span - width, -shift)
     last = F.least(item_at, F.size(item) - width, F.size(doc) - width - shift)
@@ -96,21 +102,34 @@ def leaks(
     total = items.agg(F.sum(F.size("item"))).first()[0] or 0
     hashed = docs.select("doc_id", *text_key("doc_id", "text"), _hashed(F.col("text")).alias("doc"))
     places = _seeds(hashed, "doc", masks).withColumnRenamed("at", "doc_at")
-    sought = _seeds(items, "item", masks).withColumnRenamed("at", "item_at")
-    agrees = _agrees(F.col("doc"), F.col("item"), F.col("doc_at"), F.col("item_at"), F.col("span"), window, percent)
-    name = ["doc_id", "key_a", "key_b", "item_id"]
-    if total <= broadcast_words:
-        found = places.drop("span").join(F.broadcast(sought), "seed")
-        return found.filter(agrees).select(*name).distinct()
     numbered = store(items.distinct().withColumn("item_key", F.monotonically_increasing_id()), "items")
-    sought = _seeds(numbered, "item", masks).withColumnRenamed("at", "item_at")
-    hits = places.drop("doc", "span").join(sought.drop("item", "item_id"), "seed")
-    best = hits.groupBy("key_a", "key_b", "item_key", "span", (F.col("doc_at") - F.col("item_at")).alias("shift")).agg(
-        F.collect_set("item_at").alias("places")
-    )
-    beside = best.join(hashed.dropDuplicates(["key_a", "key_b"]), ["key_a", "key_b"]).join(numbered, "item_key")
-    each = beside.select("*", F.explode("places").alias("item_at")).withColumn("doc_at", F.col("item_at") + F.col("shift"))
-    return each.filter(agrees).select(*name).distinct()
+    # A seed's hash covers its mask, so equal seeds have equal spans.
+    sought = reduce(
+        DataFrame.unionByName,
+        [_seeds(numbered, "item", [mask]).withColumn("span", F.lit(len(mask))) for mask in masks],
+    ).withColumnRenamed("at", "item_at")
+    row = ["doc_id", "key_a", "key_b", "item_key"]
+    if total <= broadcast_words:
+        # Only the words around a hit go on with it.
+        start = F.greatest(F.lit(0), F.col("doc_at") + F.col("span") - window)
+        around = F.slice("doc", start + 1, F.col("doc_at") + window - start).alias("doc")
+        hits = places.join(F.broadcast(sought.select("seed", "item_key", "item_at", "span")), "seed").select(
+            *row, (F.col("doc_at") - F.col("item_at")).alias("shift"), "item_at", "span", "doc_at", around,
+            (F.col("doc_at") - start).alias("doc_place"), F.size("doc").alias("n_words"),
+        )
+        # A hit of several masks counts once.
+        one = hits.groupBy(*row, "shift", "item_at", "span").agg(
+            F.first("doc").alias("doc"), F.first("doc_place").alias("doc_place"), F.first("n_words").alias("n_words")
+        )
+    else:
+        hits = places.drop("doc").join(sought.select("seed", "item_key", "item_at", "span"), "seed")
+        slim = hits.select(*row[1:], (F.col("doc_at") - F.col("item_at")).alias("shift"), "item_at", "span").distinct()
+        whole = hashed.dropDuplicates(["key_a", "key_b"])
+        one = slim.join(whole, ["key_a", "key_b"]).withColumns(
+            {"doc_place": F.col("item_at") + F.col("shift"), "n_words": F.size("doc")}
+        )
+    agrees = _agrees(F.col("doc"), F.col("n_words"), F.col("item"), F.col("doc_place"), F.col("item_at"), window, percent)
+    return one.join(numbered, "item_key").filter(agrees).select("doc_id", "key_a", "key_b", "item_id").distinct()
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -56,7 +56,7 @@ def texts():
         out.append((100 + n, "Some, words; " + " ".join(words).title() + " -- and more!"))
     out.append((200, "Just: eight WORDS are enough (for) an item"))
     out.append((201, "We said just eight words are enough for one item"))
-    out.append((202, "see an item without any id that has enough words to be found"))
+    out.append((202, "see an item without any id, that has MORE words to be found here."))
     return out
 
 
