@@ -11,6 +11,17 @@ from orderlens import model as m
 from orderlens.session import store
 from orderlens.sources.catalog import CatalogRoles
 
+# The lines and headings of an outline.
+OUTLINE_HEAD = "Database: {database}\n\nTables and Columns:\n"
+GROUP_LINE = "Table: %s"
+ITEM_LINE = "  - %s (%s, %s)"
+NULLABLE, NOT_NULLABLE = "NULL", "NOT NULL"
+MORE_ITEMS = "  - ... and %d more columns"
+EDGES_HEAD = "Foreign Key Relationships:\n"
+EDGE_LINE = "  - %s.%s -> %s.%s"
+MORE_EDGES = "  - ... and %d more relationships"
+
+
 
 def denied(name: str, part: str = m.DENIED_NAME) -> Column:
     return F.lower(F.col(name)).contains(part)
@@ -129,7 +140,9 @@ def fk_edges(catalog: CatalogRoles, n: int | None = m.EDGES_READ) -> DataFrame:
 
 def edge_lines(found: DataFrame, shown: int = m.EDGES_SHOWN) -> DataFrame:
     """``found`` as numbered text lines, the last telling how many are left out."""
-    text = F.format_string("  - %s.%s -> %s.%s", "parent_table", "parent_column", "referenced_table", "referenced_column")
+    # Stored, so that lines and count come from one evaluation of the joins.
+    found = store(found, "edges")
+    text = F.format_string(EDGE_LINE, "parent_table", "parent_column", "referenced_table", "referenced_column")
     # At most `shown` rows are left when they are numbered.
     lines = (
         found.orderBy(*edge_order())
@@ -138,7 +151,7 @@ def edge_lines(found: DataFrame, shown: int = m.EDGES_SHOWN) -> DataFrame:
     )
     rest = found.agg((F.count("*") - shown).alias("more")).filter(F.col("more") > 0)
     return lines.unionByName(
-        rest.select(F.lit(shown + 1).cast("long").alias("line_no"), F.format_string("  - ... and %d more relationships", "more").alias("line"))
+        rest.select(F.lit(shown + 1).cast("long").alias("line_no"), F.format_string(MORE_EDGES, "more").alias("line"))
     )
 
 
@@ -195,22 +208,18 @@ def schema_groups(columns: DataFrame, top: int = m.OUTLINE_GROUPS, per_group: in
 
 def outline_lines(groups: DataFrame) -> DataFrame:
     """Text lines of ``schema_groups``, numbered by group and line."""
-    label = F.when(F.col("item.is_nullable"), "NULL").otherwise("NOT NULL")
-    each = groups.select("group_rank", "full_name", "n_more", F.size("items").alias("shown"), F.explode("items").alias("item"))
-    heads = groups.select(
-        "group_rank", F.lit(0).alias("line_no"), F.format_string("Table: %s", "full_name").alias("line")
-    )
-    lines = each.select(
-        "group_rank",
-        F.col("item.place").alias("line_no"),
-        F.format_string("  - %s (%s, %s)", "item.column_name", "item.data_type", label).alias("line"),
-    )
-    more = groups.filter(F.col("n_more") > 0).select(
-        "group_rank",
-        (F.size("items") + 1).alias("line_no"),
-        F.format_string("  - ... and %d more columns", "n_more").alias("line"),
-    )
-    return heads.unionByName(lines).unionByName(more)
+
+    def line(number: Column, text: Column) -> Column:
+        return F.struct(number.cast("int").alias("line_no"), text.alias("line"))
+
+    def item(x: Column) -> Column:
+        label = F.when(x["is_nullable"], NULLABLE).otherwise(NOT_NULLABLE)
+        return line(x["place"], F.format_string(ITEM_LINE, x["column_name"], x["data_type"], label))
+
+    head = F.array(line(F.lit(0), F.format_string(GROUP_LINE, "full_name")))
+    more = F.array(line(F.size("items") + 1, F.format_string(MORE_ITEMS, "n_more")))
+    rest = F.when(F.col("n_more") > 0, more).otherwise(F.slice(more, 1, 0))
+    return groups.select("group_rank", F.inline(F.concat(head, F.transform("items", item), rest)))
 
 
 def schema_outline(database: str, columns: DataFrame, found: DataFrame) -> DataFrame:
@@ -224,6 +233,6 @@ def schema_outline(database: str, columns: DataFrame, found: DataFrame) -> DataF
     links = edge_lines(found).agg(
         F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: F.concat(x["line"], F.lit("\n")))).alias("edges")
     )
-    head = f"Database: {database}\n\nTables and Columns:\n"
-    links_text = links.select(F.when(F.col("edges") != "", F.concat(F.lit("Foreign Key Relationships:\n"), "edges")).otherwise("")).scalar()
+    head = OUTLINE_HEAD.format(database=database)
+    links_text = links.select(F.when(F.col("edges") != "", F.concat(F.lit(EDGES_HEAD), "edges")).otherwise("")).scalar()
     return tables.select(F.concat(F.lit(head), F.coalesce("tables", F.lit("")), links_text).alias("outline"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from orderlens import model as m
 from orderlens.functions import answers as a
+from orderlens.operators import outline as o
 from orderlens.plans import ask
 from orderlens.plans import registry as r
 from orderlens.sources.roles import JOURNAL_TYPE_ROWS
@@ -229,19 +230,19 @@ items AS (
          CAST(row_number() OVER (PARTITION BY full_name ORDER BY column_id, column_name) AS INT) AS place
   FROM listed JOIN sized ON full_name = schema_name || '.' || table_name QUALIFY place <= 20),
 outline_lines AS (
-  SELECT group_rank, 0 AS line_no, 'Table: ' || full_name AS line FROM sized
+  SELECT group_rank, 0 AS line_no, printf('{o.GROUP_LINE}', full_name) AS line FROM sized
   UNION ALL
-  SELECT group_rank, place, '  - ' || column_name || ' (' || data_type || ', '
-         || CASE WHEN is_nullable THEN 'NULL' ELSE 'NOT NULL' END || ')' FROM items
+  SELECT group_rank, place, printf('{o.ITEM_LINE}', column_name, data_type,
+         CASE WHEN is_nullable THEN '{o.NULLABLE}' ELSE '{o.NOT_NULLABLE}' END) FROM items
   UNION ALL
-  SELECT group_rank, 21, '  - ... and ' || (n_items - 20) || ' more columns' FROM sized WHERE n_items > 20),
+  SELECT group_rank, 21, printf('{o.MORE_ITEMS}', n_items - 20) FROM sized WHERE n_items > 20),
 edge_lines AS (
   SELECT row_number() OVER (ORDER BY parent_name, referenced_name, fk_name, parent_column, referenced_column,
                             parent_table, referenced_table) AS line_no,
-         '  - ' || parent_table || '.' || parent_column || ' -> ' || referenced_table || '.' || referenced_column AS line
+         printf('{o.EDGE_LINE}', parent_table, parent_column, referenced_table, referenced_column) AS line
   FROM fk_edges QUALIFY line_no <= 100
   UNION ALL
-  SELECT 101, '  - ... and ' || (count(*) - 100) || ' more relationships' FROM fk_edges HAVING count(*) > 100)"""
+  SELECT 101, printf('{o.MORE_EDGES}', count(*) - 100) FROM fk_edges HAVING count(*) > 100)"""
 
 
 def _search(columns: list[str], test: str) -> str:
@@ -349,9 +350,9 @@ SELECT group_rank, full_name, n_items, greatest(n_items - 20, 0) AS n_more,
     "schema_outline": f"""WITH {OUTLINE},
 blocks AS (SELECT group_rank, string_agg(line, chr(10) ORDER BY line_no) || chr(10) || chr(10) AS block
            FROM outline_lines GROUP BY 1)
-SELECT 'Database: orders' || chr(10) || chr(10) || 'Tables and Columns:' || chr(10)
+SELECT {_lit(o.OUTLINE_HEAD.format(database="orders"))}
        || (SELECT string_agg(block, '' ORDER BY group_rank) FROM blocks)
-       || 'Foreign Key Relationships:' || chr(10)
+       || {_lit(o.EDGES_HEAD)}
        || (SELECT string_agg(line || chr(10), '' ORDER BY line_no) FROM edge_lines) AS outline""",
     "limit_then_filter": f"""
 SELECT * FROM (SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders ORDER BY o_totalprice DESC, o_orderkey

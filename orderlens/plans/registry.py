@@ -85,6 +85,17 @@ def whole_frame(spark: SparkSession, folder: str) -> DataFrame:
     return base.load_orders(order_roles(spark, folder), None)
 
 
+_frames: dict[tuple[str, str], DataFrame] = {}
+
+
+def stored_frame(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole frame, stored once per application like the tables it is made of."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _frames:
+        _frames[key] = store(whole_frame(spark, folder), "frame")
+    return _frames[key]
+
+
 def load_orders(spark: SparkSession, folder: str) -> DataFrame:
     return base.sorted_frame(loaded(spark, folder))
 
@@ -284,25 +295,25 @@ def pattern_comments(spark: SparkSession, folder: str) -> DataFrame:
 def knn_orders(spark: SparkSession, folder: str) -> DataFrame:
     """Nearest records of all groups, for every group of the orders in the query set."""
     queries = vectors(order_roles(spark, folder)).filter(f"{m.ORDER} % {QUERY_SET} = 0")
-    return similar.neighbour_rows(similar.nearest_orders(queries, whole_frame(spark, folder)), KEYS)
+    return similar.neighbour_rows(similar.nearest_orders(queries, stored_frame(spark, folder)), KEYS)
 
 
 def knn_blocked(spark: SparkSession, folder: str) -> DataFrame:
     """Nearest records of the order's own group, for every order and group."""
     queries = vectors(order_roles(spark, folder))
-    return similar.neighbour_rows(similar.nearest_orders(queries, whole_frame(spark, folder), [m.GROUP]), KEYS)
+    return similar.neighbour_rows(similar.nearest_orders(queries, stored_frame(spark, folder), [m.GROUP]), KEYS)
 
 
 def predict_comment(spark: SparkSession, folder: str) -> DataFrame:
-    return predict.predict_from_frame(order_roles(spark, folder), QUERY_SET)
+    return predict.predict_from_frame(order_roles(spark, folder), QUERY_SET, stored_frame(spark, folder))
 
 
 def prediction_batch(spark: SparkSession, folder: str) -> DataFrame:
-    return predict.prediction_batch(order_roles(spark, folder))
+    return predict.prediction_batch(order_roles(spark, folder), stored_frame(spark, folder))
 
 
 def predict_accuracy(spark: SparkSession, folder: str) -> DataFrame:
-    frame = store(whole_frame(spark, folder), "frame")
+    frame = stored_frame(spark, folder)
     return similar.prediction_accuracy(predict.prediction_batch(order_roles(spark, folder), frame), frame)
 
 

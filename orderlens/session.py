@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,10 +45,30 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folders[context.applicationId]
 
 
+_scopes: list[str] = []
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """An unused path under the shared folder."""
+    """An unused path under the shared folder, in the innermost ``scope`` if there is one."""
     app = spark.sparkContext.applicationId
-    return f"{shared_folder(spark)}/orderlens/{app}/{label}-{uuid.uuid4().hex}"
+    return "/".join([shared_folder(spark), "orderlens", app, *_scopes, f"{label}-{uuid.uuid4().hex}"])
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Remove what is stored within when the scope ends; results must have been used by then.
+
+    Order and catalog tables that are kept for the application are best built
+    before.
+    """
+    _scopes.append(f"scope-{uuid.uuid4().hex}")
+    folder = fresh_path(spark, "x").rpartition("/")[0]
+    try:
+        yield
+    finally:
+        _scopes.pop()
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def store(df: DataFrame, label: str) -> DataFrame:

@@ -131,6 +131,8 @@ def catalog_roles(spark: SparkSession, folder: str, refresh: bool = False) -> Ca
 def session_columns(spark: SparkSession, database: str) -> DataFrame:
     """The columns of the session's own tables, as ``catalog_columns`` lists them.
 
+    For catalogs of a size a person browses: names and columns are listed on
+    the driver, with one catalog call for the tables and one for each of them.
     Spark keeps no foreign keys, so ``has_relationships`` is 0.
     """
     rows = [

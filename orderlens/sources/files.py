@@ -54,5 +54,5 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def read_csv(spark: SparkSession, path: str, schema: object) -> DataFrame:
-    """Read what ``write_csv`` wrote; line breaks inside quotes are kept."""
+    """Read what ``write_csv`` wrote; line breaks inside quotes are kept, and empty text comes back as NULL."""
     return spark.read.options(**CSV_OPTIONS).option("multiLine", "true").schema(schema).csv(path)

@@ -19,20 +19,42 @@ def connection_options(
     return {"url": url, "user": username, "password": password or ""}
 
 
+# Rows that the driver class fetches at a time.
+FETCH_ROWS = 10_000
+
+
+def split_options(key: str, bounds: tuple[int, int] | None, parts: int) -> dict[str, str]:
+    """Options that let ``parts`` tasks read a range of ``key`` each; none for an empty table or a single task."""
+    if bounds is None or parts < 2 or bounds[0] == bounds[1]:
+        return {}
+    low, high = bounds
+    # The upper bound only sets the stride; beyond it, the last task reads on.
+    return {
+        "partitionColumn": key,
+        "lowerBound": str(low),
+        "upperBound": str(high + 1),
+        "numPartitions": str(min(parts, high - low + 1)),
+    }
+
+
+def key_bounds(spark: SparkSession, options: dict[str, str], name: str, key: str) -> tuple[int, int] | None:
+    """The least and the largest key of a table, asked from the database; None if there is none."""
+    found = read_query(spark, options, f"SELECT MIN({key}) AS low, MAX({key}) AS high FROM {name}").first()
+    return None if found is None or found[0] is None else (int(found[0]), int(found[1]))
+
+
 def read_table(
-    spark: SparkSession,
-    options: dict[str, str],
-    name: str,
-    split_by: str | None = None,
-    bounds: tuple[int, int] = (0, 0),
-    parts: int = 1,
+    spark: SparkSession, options: dict[str, str], name: str, split_by: str | None = None, parts: int | None = None
 ) -> DataFrame:
-    """One table; with ``split_by``, ``parts`` tasks read a key range each."""
-    reader = spark.read.format("jdbc").options(**options).option("dbtable", name)
+    """One table; with ``split_by``, ``parts`` tasks (by default one per core) read a range of that key each.
+
+    Ranges are of equal width between the table's own least and largest key.
+    """
+    reader = spark.read.format("jdbc").options(**options).option("dbtable", name).option("fetchsize", FETCH_ROWS)
     if split_by:
-        reader = reader.options(
-            partitionColumn=split_by, lowerBound=str(bounds[0]), upperBound=str(bounds[1]), numPartitions=str(parts)
-        )
+        count = parts or spark.sparkContext.defaultParallelism
+        bounds = key_bounds(spark, options, name, split_by) if count > 1 else None
+        reader = reader.options(**split_options(split_by, bounds, count))
     return reader.load()
 
 
@@ -41,16 +63,17 @@ def read_query(spark: SparkSession, options: dict[str, str], query: str) -> Data
     return spark.read.format("jdbc").options(**options).option("query", query).load()
 
 
-def order_tables(
-    spark: SparkSession, options: dict[str, str], bounds: tuple[int, int] = (0, 0), parts: int = 1
-) -> OrderRoles:
-    """The six order tables; the four large ones are split by order number or header."""
-    split = (bounds, parts)
+def order_tables(spark: SparkSession, options: dict[str, str], parts: int | None = None) -> OrderRoles:
+    """The six order tables; the four large ones are read in parallel, each by ranges of its own key."""
+
+    def split(name: str, key: str) -> DataFrame:
+        return read_table(spark, options, name, key, parts)
+
     return OrderRoles(
-        hist=read_table(spark, options, m.HIST_TABLE, m.ORDER if parts > 1 else None, *split),
-        hdr=read_table(spark, options, m.HEADER_TABLE, m.HEADER_ID if parts > 1 else None, *split),
-        detl=read_table(spark, options, m.DETAIL_TABLE, m.HEADER_ID if parts > 1 else None, *split),
-        jrnl=read_table(spark, options, m.JOURNAL_TABLE, m.HEADER_ID if parts > 1 else None, *split),
+        hist=split(m.HIST_TABLE, m.ORDER),
+        hdr=split(m.HEADER_TABLE, m.HEADER_ID),
+        detl=split(m.DETAIL_TABLE, m.HEADER_ID),
+        jrnl=split(m.JOURNAL_TABLE, m.HEADER_ID),
         typ=read_table(spark, options, m.JOURNAL_TYPE_TABLE),
         grp=read_table(spark, options, m.GROUP_TABLE),
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from samples import tuples
 
 from orderlens.functions.connections import connection_fields
+from orderlens import model as m
 from orderlens.sources import files, jdbc
 
 XML = """<?xml version="1.0" encoding="utf-8"?>
@@ -73,3 +74,55 @@ def test_csv_roundtrip(spark, tmp_path):
 def test_jdbc_options():
     assert jdbc.connection_options("s", "d") == {"url": "jdbc:sqlserver://s;databaseName=d;integratedSecurity=true"}
     assert jdbc.connection_options("s", "d", "u", "p")["user"] == "u"
+
+
+def test_jdbc_split_options():
+    assert jdbc.split_options("k", (10, 109), 4) == {
+        "partitionColumn": "k", "lowerBound": "10", "upperBound": "110", "numPartitions": "4",
+    }
+    assert jdbc.split_options("k", (1, 3), 8)["numPartitions"] == "3"
+    for bounds, parts in ((None, 4), ((5, 5), 4), ((1, 9), 1)):
+        assert jdbc.split_options("k", bounds, parts) == {}
+
+
+def test_jdbc_bounds_are_asked_per_table_and_key(spark, monkeypatch):
+    """No database: only the queries and options are looked at."""
+    asked, read = [], {}
+
+    def bounds(session, options, name, key):
+        asked.append((name, key))
+        return (len(asked), 100 * len(asked))
+
+    class Reader:
+        def __init__(self):
+            self.given = {}
+
+        def format(self, kind):
+            assert kind == "jdbc"
+            return self
+
+        def options(self, **more):
+            self.given |= more
+            return self
+
+        def option(self, name, value):
+            return self.options(**{name: value})
+
+        def load(self):
+            read[self.given["dbtable"]] = self.given
+            return spark.range(1)
+
+    class Session:
+        sparkContext = spark.sparkContext
+
+        @property
+        def read(self):
+            return Reader()
+
+    monkeypatch.setattr(jdbc, "key_bounds", bounds)
+    jdbc.order_tables(Session(), {"url": "jdbc:x"})
+    assert asked == [(m.HIST_TABLE, m.ORDER), (m.HEADER_TABLE, m.HEADER_ID), (m.DETAIL_TABLE, m.HEADER_ID), (m.JOURNAL_TABLE, m.HEADER_ID)]
+    for number, (name, key) in enumerate(asked, 1):
+        assert (read[name]["partitionColumn"], read[name]["lowerBound"]) == (key, str(number))
+        assert read[name]["numPartitions"] == str(spark.sparkContext.defaultParallelism)
+    assert "partitionColumn" not in read[m.GROUP_TABLE] and read[m.GROUP_TABLE]["fetchsize"] == jdbc.FETCH_ROWS
