@@ -17,6 +17,7 @@ import time
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import cached_property
+from operator import eq
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -31,7 +32,8 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW_WORDS = 5
 MAX_SYMBOL_PERCENT = 10
-MAX_DUP_LINE_PERCENT = 30
+MAX_DUP_LINE_PERCENT = 50
+MAX_DOUBLED_PERCENT = 30
 MIN_WORD_CHARS, MAX_WORD_CHARS = 2, 15
 
 SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -95,6 +97,11 @@ class Measures:
         np.add.at(covered, starts + WINDOW_WORDS, -1)
         return int((np.cumsum(covered) > 0).sum())
 
+    @cached_property
+    def n_doubled_words(self) -> int:
+        """Words that equal the word before them."""
+        return sum(map(eq, self.words, self.words[1:]))
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -109,6 +116,7 @@ BASE_RULES = (
 MORE_RULES = (
     Rule("symbols", lambda m: 100 * m.n_symbols > MAX_SYMBOL_PERCENT * m.n_words),
     Rule("repeated_lines", lambda m: 100 * m.n_dup_lines > MAX_DUP_LINE_PERCENT * len(m.lines)),
+    Rule("doubled_words", lambda m: 100 * m.n_doubled_words > MAX_DOUBLED_PERCENT * m.n_words),
     Rule("short_words", lambda m: m.word_chars < MIN_WORD_CHARS * m.n_words),
     Rule("long_words", lambda m: m.word_chars > MAX_WORD_CHARS * m.n_words),
 )

@@ -136,9 +136,11 @@ WITH d AS (
 ), n AS (
   SELECT doc_id, place, word, whole AND count(*) OVER (PARTITION BY doc_id, five, whole) > 1 AS again FROM g
 ), c AS (
-  SELECT doc_id, word, bool_or(again) OVER (PARTITION BY doc_id ORDER BY place ROWS 4 PRECEDING) AS covered FROM n
+  SELECT doc_id, word, bool_or(again) OVER (PARTITION BY doc_id ORDER BY place ROWS 4 PRECEDING) AS covered,
+    word = lag(word) OVER (PARTITION BY doc_id ORDER BY place) AS doubled FROM n
 ), m AS (
-  SELECT doc_id, count(*) AS n_words, sum(length(word)) AS word_chars, count(*) FILTER (covered) AS n_repeat_words FROM c GROUP BY doc_id
+  SELECT doc_id, count(*) AS n_words, sum(length(word)) AS word_chars, count(*) FILTER (covered) AS n_repeat_words,
+    count(*) FILTER (doubled) AS n_doubled FROM c GROUP BY doc_id
 ), x AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d
 ), k AS (
@@ -147,14 +149,15 @@ WITH d AS (
 ), a AS (
   SELECT d.doc_id, CAST(coalesce(m.n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars,
     CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
-    CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines
+    CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines,
+    coalesce(n_doubled, 0) AS n_doubled
   FROM d LEFT JOIN m ON m.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id
 ), b AS (
   SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM a
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR 100 * n_symbols > 10 * n_words OR 100 * n_dup_lines > 30 * n_lines
-    OR word_chars < 2 * n_words OR word_chars > 15 * n_words) AS kept
+  NOT (base_failed OR 100 * n_symbols > 10 * n_words OR 100 * n_dup_lines > 50 * n_lines
+    OR 100 * n_doubled > 30 * n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words) AS kept
 FROM b
 """,
     "op10_line_dedup": r"""
