@@ -37,7 +37,8 @@ from orderlens.llm.common import map_rows, text_key
 from orderlens.session import store
 
 MIN_BYTES = 400
-GROUP = 20_000
+# Different contexts that one task scans at a time; with up to 700 bytes each, some 40 MB.
+GROUP = 60_000
 # Bytes whose anchors are chosen at a time; positions within fit 20 bits.
 CHUNK = 500_000
 
@@ -228,7 +229,7 @@ def _occurrences(marked: DataFrame, min_bytes: int) -> DataFrame:
 
 
 def _texts(marked: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Contexts' bytes, read from one text each: (g, h, c_a, c_b, left, right)."""
+    """Contexts' bytes, read from one text each: (h, c_a, c_b, left, right)."""
 
     def cut(rows: Iterator[dict]) -> Iterator[dict]:
         for row in rows:
@@ -236,7 +237,6 @@ def _texts(marked: DataFrame, wanted: DataFrame) -> DataFrame:
             for want in row["wanted"]:
                 at = want["pos"]
                 yield {
-                    "g": want["h"],
                     "h": want["h"],
                     "c_a": want["c_a"],
                     "c_b": want["c_b"],
@@ -246,12 +246,12 @@ def _texts(marked: DataFrame, wanted: DataFrame) -> DataFrame:
 
     lists = wanted.groupBy(*KEY).agg(F.collect_set(F.struct("h", "c_a", "c_b", "pos", "l", "r")).alias("wanted"))
     texts = marked.filter("marks is not null").select(*KEY, "text").dropDuplicates(KEY)
-    schema = "g bigint, h bigint, c_a bigint, c_b bigint, left binary, right binary"
+    schema = "h bigint, c_a bigint, c_b bigint, left binary, right binary"
     return map_rows(texts.join(lists, KEY).select("text", "wanted"), cut, schema)
 
 
-def _refined(groups: DataFrame, min_bytes: int, unit: int) -> DataFrame:
-    """The contexts regrouped by parts of ``min_bytes - unit`` bytes.
+def _refined(contexts: DataFrame, min_bytes: int, unit: int) -> DataFrame:
+    """(g, h, c_a, c_b): the contexts grouped by parts of ``min_bytes - unit`` bytes, without their bytes.
 
     Any window that two contexts share holds such a part at one of the places
     tried, so windows still meet in some group.
@@ -265,13 +265,13 @@ def _refined(groups: DataFrame, min_bytes: int, unit: int) -> DataFrame:
                 after = gram + reach - unit - before
                 if len(row["left"]) >= before and len(row["right"]) >= after:
                     part = row["left"][:before] + b"|" + row["right"][:after]
-                    g = np.int64(np.uint64(xxhash.xxh64_intdigest(part, before)).view(np.int64))
-                    yield row | {"g": int(g)}
+                    g = np.uint64(xxhash.xxh64_intdigest(part, before)).view(np.int64)
+                    yield {c: row[c] for c in CONTEXT} | {"g": int(g)}
 
-    return map_rows(groups, parts, "g bigint, h bigint, c_a bigint, c_b bigint, left binary, right binary")
+    return map_rows(contexts, parts, "g bigint, h bigint, c_a bigint, c_b bigint")
 
 
-def _windows(groups: DataFrame, min_bytes: int) -> DataFrame:
+def _windows(contexts: DataFrame, min_bytes: int) -> DataFrame:
     """Extents of contexts whose windows are counted whole."""
 
     def windows(rows: Iterator[dict]) -> Iterator[dict]:
@@ -283,7 +283,7 @@ def _windows(groups: DataFrame, min_bytes: int) -> DataFrame:
                 yield {"h": row["h"], "c_a": row["c_a"], "c_b": row["c_b"], "w_a": a, "w_b": b, "j": at - start}
 
     schema = "h bigint, c_a bigint, c_b bigint, w_a bigint, w_b bigint, j bigint"
-    rows = store(map_rows(groups.select(*CONTEXT, "left", "right"), windows, schema), "windows")
+    rows = store(map_rows(contexts.select(*CONTEXT, "left", "right"), windows, schema), "windows")
     # A window stands in the contexts of all grams within it, so it is counted per gram and place of the gram.
     window = ["h", "j", "w_a", "w_b"]
     again = rows.groupBy(*window).count().filter("count > 1").select(*window)
@@ -333,22 +333,25 @@ def _extents(marked: DataFrame, occurrences: DataFrame, min_bytes: int, group: i
     )
     mixed = contexts.groupBy("h").count().filter("count > 1").select("h")
     wanted = contexts.join(mixed, "h").select(*CONTEXT, "l", "r", "at.*")
-    groups = store(_texts(marked, wanted), "groups")
+    texts = store(_texts(marked, wanted), "texts")
     whole = contexts.filter("n > 1").select(
         *CONTEXT, F.xxhash64(*CONTEXT).alias("g"), F.lit(-1).cast("long").alias("repeat"), "l", "r"
     )
     reach = min_bytes - max(1, min_bytes // 4)
+    groups = texts.select(F.col("h").alias("g"), *CONTEXT)
     for unit in [u for u in (reach // 4, reach // 20) if u > 0] + [0]:
         sizes = groups.groupBy("g").count()
         large = store(sizes.filter(F.col("count") > group).select("g"), "large")
-        small = groups.join(sizes.filter(F.col("count").between(2, group)).select("g"), "g", "left_semi")
+        small = groups.join(sizes.filter(F.col("count").between(2, group)).select("g"), "g").join(texts, CONTEXT)
         whole = whole.unionByName(store(_repeats(small, min_bytes, every), "repeats"))
         if large.isEmpty():
             return whole
-        crowded = groups.join(large, "g", "left_semi").dropDuplicates(CONTEXT)
+        # The contexts of crowded groups go on, each once.
+        crowded = groups.join(large, "g").select(*CONTEXT).distinct()
+        texts = store(texts.join(crowded, CONTEXT), "texts")
         if unit:
-            groups = store(_refined(crowded, min_bytes, unit), "groups")
-    counted = _windows(crowded, min_bytes)
+            groups = store(_refined(texts, min_bytes, unit), "groups")
+    counted = _windows(texts, min_bytes)
     own = counted.withColumns({"g": F.xxhash64(*CONTEXT, "l"), "repeat": F.lit(-2).cast("long")})
     return whole.unionByName(own)
 
