@@ -49,11 +49,15 @@ IMPLIED_END = {
 PARAGRAPH_SCOPE = frozenset("table td th caption button object html template".split())
 # Words of class, id and role that mark parts beside the article.
 BESIDE = frozenset(
-    "ad ads adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments "
-    "complementary contentinfo cookie cookies consent dialog disqus footer header masthead menu modal nav navbar "
-    "navigation newsletter notice notices pager pagination popup promo promoted related respond search share sharing "
-    "sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
+    "ad ads adv advert adverts advertisement advertising alert announcement banner breadcrumb breadcrumbs comment "
+    "comments complementary contentinfo cookie cookies consent copyright dialog disclaimer discussion disqus footer "
+    "gdpr header infobar leaderboard legal lightbox login masthead menu modal nav navbar navigation newsletter notice "
+    "notices outbrain overlay pager pagination paywall popular popup promo promoted recommended related replies respond "
+    "search share sharing sidebar sidenav signin signup skip social sponsor sponsored subscribe subscription taboola "
+    "toolbar topbar trending widget".split()
 )
+# Words before such a word that say what a part has, not what it is.
+HAS = frozenset("has with without no show hide is".split())
 TOP = frozenset("html body article main".split())
 
 SIBLING_SHARE = 0.2
@@ -63,7 +67,7 @@ _TAG = re.compile(
     re.DOTALL,
 )
 _ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_MARKS = re.compile(r"[a-z0-9]+")
+_MARKS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 _RAW_END = {name: re.compile(rf"</{name}\s*/?>", re.IGNORECASE) for name in RAW}
 
@@ -76,12 +80,23 @@ class Node:
     parts: list = field(default_factory=list)  # texts and nodes in page order
     points: float = 0.0
     scored: bool = False
+    size: int = 0
+    linked: int = 0
 
     @property
     def nodes(self) -> list[Node]:
         return [x for x in self.parts if isinstance(x, Node)]
 
 
+def _named_beside(value: str) -> bool:
+    """Whether one of the names in a class, id or role holds a word of parts beside the article."""
+    for name in unescape(value).split():
+        words = [w.lower() for w in _MARKS.findall(name)]
+        if any(w in BESIDE and before not in HAS for before, w in zip(["", *words], words)):
+            return True
+    return False
+
+
 def _beside(name: str, rest: str) -> bool:
     """Whether an element's name or attributes say that it is no article text."""
     if name in NEVER:
@@ -90,9 +105,10 @@ def _beside(name: str, rest: str) -> bool:
         return False
     for found in _ATTRIBUTE.finditer(rest):
         key = found[1].lower()
-        value = (found[2] or found[3] or found[4] or "").lower()
-        if key in ("class", "id", "role") and not BESIDE.isdisjoint(_MARKS.findall(unescape(value))):
+        value = found[2] or found[3] or found[4] or ""
+        if key in ("class", "id", "role") and _named_beside(value):
             return True
+        value = value.lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and _HIDDEN.search(value):
             return True
     return False
@@ -153,23 +169,24 @@ def _open(node: Node, names: frozenset, bounds: frozenset) -> bool:
     return False
 
 
-def _text(node: Node, links: bool = False, within: bool = False) -> int:
-    """Characters of text in a node, or of its link text only."""
-    total, todo = 0, [(node, within or node.name == "a")]
+def _measure(root: Node) -> None:
+    """Set every node's characters of text and of link text, children before parents."""
+    order, todo = [], [(root, root.name == "a")]
     while todo:
-        here, linked = todo.pop()
-        for part in here.parts:
-            if isinstance(part, str):
-                if linked or not links:
-                    total += len(part.strip())
-            elif not part.cut:
-                todo.append((part, linked or part.name == "a"))
-    return total
+        node, linked = todo.pop()
+        order.append((node, linked))
+        todo.extend((child, linked or child.name == "a") for child in node.nodes if not child.cut)
+    for node, linked in reversed(order):
+        own = sum(len(part.strip()) for part in node.parts if isinstance(part, str))
+        node.size += own
+        node.linked += own if linked else 0
+        if node.parent is not None:
+            node.parent.size += node.size
+            node.parent.linked += node.linked
 
 
 def _link_density(node: Node) -> float:
-    size = _text(node)
-    return _text(node, links=True) / size if size else 0.0
+    return node.linked / node.size if node.size else 0.0
 
 
 def _own_text(node: Node) -> str:
@@ -195,6 +212,7 @@ def _walk(node: Node) -> Iterator[Node]:
 
 def best_container(root: Node) -> Node | None:
     """The node with the most points; none without any text."""
+    _measure(root)
     scored: list[Node] = []
     for node in _walk(root):
         if node.name not in BLOCK and node is not root:
@@ -232,7 +250,7 @@ def kept_nodes(best: Node) -> list[Node]:
         if node is best:
             kept.append(node)
         elif not node.cut and node.name in BLOCK:
-            size, density = _text(node), _link_density(node)
+            size, density = node.size, _link_density(node)
             prose = node.name in PROSE and (size > 80 and density < 0.25 or 0 < size <= 80 and density == 0)
             heading = re.fullmatch("h[1-6]", node.name) is not None and density == 0
             if node.scored and node.points >= least or prose or heading:

@@ -57,6 +57,10 @@ def test_odd_rows(spark):
         "<noscript><p>{}</p></noscript>",
         "<!-- <p>{}</p> -->",
         "<textarea>{}</textarea>",
+        "<div class=siteHeader><p>{}</p></div>",
+        "<div id=ad2>{}</div>",
+        "<div class='post-footer'>{}</div>",
+        "<section class='userComments'><p>{}</p></section>",
     ],
 )
 @pytest.mark.parametrize("shell", ["<article>{}</article>", "<div id=content>{}</div>", "<table><tr><td>{}</table>"])
@@ -108,3 +112,8 @@ def test_deep_and_long_pages():
     assert html_text.main_text("<div>" * 20_000 + f"<p>{P}" + "</div>" * 20_000) == P
     long = "word, " * 200_000
     assert html_text.main_text(f"<article><p>{long}</article>") == " ".join(long.split())
+
+
+@pytest.mark.parametrize("name", ["post has-sidebar", "content no-comments", "layout withSidebar", "download-adaptive headerless"])
+def test_names_that_say_what_a_part_has(name):
+    assert html_text.main_text(f"<body><div class='{name}'><p>{P}</p></div></body>") == P
