@@ -182,7 +182,8 @@ def _marked(docs: DataFrame, min_bytes: int) -> DataFrame:
         keyed.select("text", *KEY), choose, "key_a bigint, key_b bigint, pos array<bigint>, h array<bigint>"
     )
     anchors = store(listed.select(*KEY, F.explode(F.arrays_zip("pos", "h")).alias("m")).select(*KEY, "m.*"), "anchors")
-    again = anchors.groupBy("h").count().filter("count > 1").select("h")
+    # Stored, so that the join is between freshly shuffled sides and a frequent anchor's partition can be split.
+    again = store(anchors.groupBy("h").count().filter("count > 1").select("h"), "again")
     marks = anchors.join(again, "h").groupBy(*KEY).agg(F.collect_set(F.struct("pos", "h")).alias("marks"))
     joined = keyed.join(marks, KEY, "left")
     size, digest = F.octet_length(F.coalesce("text", F.lit(""))), F.sha2(F.coalesce("text", F.lit("")), 256)
@@ -331,7 +332,7 @@ def _extents(marked: DataFrame, occurrences: DataFrame, min_bytes: int, group: i
         occurrences.groupBy(*CONTEXT).agg(F.count("*").alias("n"), F.min("l").alias("l"), F.min("r").alias("r"), at),
         "contexts",
     )
-    mixed = contexts.groupBy("h").count().filter("count > 1").select("h")
+    mixed = store(contexts.groupBy("h").count().filter("count > 1").select("h"), "mixed")
     wanted = contexts.join(mixed, "h").select(*CONTEXT, "l", "r", "at.*")
     texts = store(_texts(marked, wanted), "texts")
     whole = contexts.filter("n > 1").select(
@@ -390,7 +391,7 @@ def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, group: int = GRO
     marked = _marked(docs, min_bytes)
     occurrences = _occurrences(marked, min_bytes)
     extents = _extents(marked, occurrences, min_bytes, group)
-    widest = extents.groupBy(*CONTEXT).agg(F.max("l").alias("x"), F.max("r").alias("y"))
+    widest = store(extents.groupBy(*CONTEXT).agg(F.max("l").alias("x"), F.max("r").alias("y")), "widest")
     spans = occurrences.join(widest, CONTEXT).select(
         *KEY, F.struct((F.col("pos") - F.col("x")).alias("s"), (F.col("pos") + F.col("y")).alias("e")).alias("span")
     )
