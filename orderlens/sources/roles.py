@@ -7,7 +7,6 @@ from dataclasses import dataclass, fields
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlens import model as m
 from orderlens.model import COMMENT, CUMULATIVE, GROUP, GROUP_ID, HEADER_ID, ORDER, STRENGTH, TREND_COLUMNS
 from orderlens.operators.series import with_history
 from orderlens.session import store
