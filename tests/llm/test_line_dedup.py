@@ -81,3 +81,68 @@ def test_dropped_documents_had_only_repeats(spark):
 def test_plan_has_no_python(spark, folder):
     plan = line_dedup.dedup_lines(table(spark, folder, "documents"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "NestedLoop" not in plan
+
+
+def lines_left(rows):
+    """What stays of each text: a line goes if two neighbouring worded lines, it among them, stood at an earlier place."""
+    seen, out = set(), []
+    for _, text in sorted(rows):
+        lines = text.split("\n")
+        worded = [n for n, line in enumerate(lines) if brute.WORD.search(line)]
+        gone = set()
+        for a, b in zip(worded, worded[1:]):
+            body = tuple(lines[a : b + 1])
+            if body in seen:
+                gone |= set(range(a, b + 1))
+            seen.add(body)
+        out.append([line for n, line in enumerate(lines) if n not in gone])
+    return out
+
+
+def test_whole_passages_of_any_length_go(spark):
+    """Two documents a length share a passage between own lines; all of it goes from the second."""
+    rows, passages = [], {}
+    for length in (2, 3, 4, 5, 8, 12, 20, 40):
+        for turn in range(5):
+            passage = [f"shared {length} {turn} {n}" + "\n" * (n % 3) for n in range(length)]
+            for copy in range(2):
+                d = len(rows)
+                rows.append((d, "\n".join([f"own {d} a", "", f"own {d} b", *passage, f"own {d} c", f"own {d} d"])))
+            passages[d] = len("\n".join(passage).rstrip("\n").split("\n"))
+    found = line_dedup.dedup_lines(odd.documents(spark, [(d, t, "en", "a", 1) for d, t in rows]), whole=True)
+    got = {r.doc_id: r for r in found.select("row.doc_id", "kept", "n_removed").collect()}
+    for (d, text), left in zip(rows, lines_left(rows)):
+        assert got[d].kept == "\n".join(left)
+        assert got[d].n_removed == passages.get(d, 0)
+        assert "shared" not in got[d].kept or d not in passages
+
+
+def test_whole_copies_vanish_or_stay_as_they_are(spark, folder):
+    docs = table(spark, folder, "documents")
+    rows = [(r.doc_id, r.text) for r in docs.collect() if r.text]
+    left = {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(docs, whole=True).collect()}
+    first, later = {}, 0
+    for d, text in sorted(rows):
+        if first.setdefault(text, d) != d:
+            later += 1
+            assert left.get(d) in (None, text)
+    assert later
+    for (d, text), lines in zip(sorted(rows), lines_left(rows)):
+        body = "\n".join(lines)
+        assert left.get(d) == (body if body == text or brute.WORD.search(body) else None)
+
+
+def test_whole_takes_odd_rows_and_needs_no_python(spark):
+    found = line_dedup.dedup_lines(odd.documents(spark), whole=True)
+    rows = found.select("row.doc_id", "row.text", "kept", "n_lines", "n_removed").collect()
+    assert len(rows) == len(odd.DOC_ROWS)
+    for r in rows:
+        if r.doc_id == 11:
+            assert r.kept == "same line again" and r.n_removed == 11
+        elif r.doc_id == 4 and r.text.startswith("one"):
+            assert r.kept == "" and r.n_removed == 6
+        else:
+            assert r.kept == r.text and r.n_removed == 0
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "NestedLoop" not in plan
+    assert line_dedup.drop_repeated_lines(odd.documents(spark, []), whole=True).collect() == []
