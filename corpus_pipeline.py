@@ -51,10 +51,17 @@ STAGES = [
 ]
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table documents, each from the files of the one before."""
+def whole_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any passage of two or more worded lines that an earlier one has, so copies go or stay as they are."""
+    return line_dedup.drop_repeated_lines(docs, whole=True)
+
+
+def run(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """All stages over the table documents, each from the files of the one before; ``whole`` is for line dedup."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
+        if whole and stage is line_dedup_stage:
+            stage = whole_line_dedup
         docs = store(stage(spark, docs, sf_dir), name)
     return docs
 

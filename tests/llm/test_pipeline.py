@@ -82,3 +82,14 @@ def test_stages_are_those_dealt():
         "quality_rules", "line_dedup", "simhash_near_dedup", "benchmark_decontamination", "source_mixing",
     ]
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_whole_line_dedup_leaves_no_scraps_of_copies(outputs, spark, folder):
+    docs = outputs[1][0]
+    texts, first = dict(rows_of(docs)), {}
+    for d in sorted(texts):
+        first.setdefault(texts[d], d)
+    copies = {d for d, text in texts.items() if first[text] != d}
+    left = dict(rows_of(corpus_pipeline.whole_line_dedup(spark, docs, folder)))
+    assert copies and all(left[d] == texts[d] for d in copies if d in left)
+    assert not copies & {r.doc_id for r in corpus_pipeline.run(spark, folder, whole=True).collect()}
