@@ -6,7 +6,8 @@ hash of the others is a seed. Seeds of all masks at all places of documents
 and benchmark items are joined, so a passage is found although words in it
 were replaced. Around every hit the two texts are laid side by side: the
 document is contaminated if a window of 20 words that covers the hit (fewer if
-the item or the document is shorter) agrees in at least 80 % of its places.
+the item or the document is shorter) agrees in at least 80 % of its places. The
+masks find all such windows of 10 words and more; shorter items must be equal.
 
 Benchmark seeds are broadcast when they are counted and few; otherwise both
 sides are shuffled by seed and hits are verified after a join by text.
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 from orderlens.llm.common import text_key
 from orderlens.session import store
 
-MASKS = ("1110110111", "1101101111", "1111011011")
+# Whichever fifth of the 10 to 20 words of a window is replaced, one of these has none of them at its ones at some place.
+MASKS = ("1101000011", "0010011101", "0110101010", "1001110100", "1011101000", "0100100111", "1111010000")
 # Items with fewer words are too short to tell a leak from chance.
 MIN_WORDS = 8
 WINDOW = 20
