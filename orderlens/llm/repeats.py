@@ -288,7 +288,7 @@ def _windows(contexts: DataFrame, min_bytes: int) -> DataFrame:
     # A window stands in the contexts of all grams within it, so it is counted per gram and place of the gram.
     window = ["h", "j", "w_a", "w_b"]
     again = rows.groupBy(*window).count().filter("count > 1").select(*window)
-    return rows.join(again, window).select(*CONTEXT, F.col("j").alias("l"), (min_bytes - F.col("j")).alias("r"))
+    return rows.join(again, window).select(*CONTEXT, F.col("j").alias("l"), (min_bytes - F.col("j")).alias("r"), "w_a", "w_b")
 
 
 def _repeats(groups: DataFrame, min_bytes: int, every: bool) -> DataFrame:
@@ -353,8 +353,9 @@ def _extents(marked: DataFrame, occurrences: DataFrame, min_bytes: int, group: i
         if unit:
             groups = store(_refined(texts, min_bytes, unit), "groups")
     counted = _windows(texts, min_bytes)
-    own = counted.withColumns({"g": F.xxhash64(*CONTEXT, "l"), "repeat": F.lit(-2).cast("long")})
-    return whole.unionByName(own)
+    # Named by the window, which all contexts that hold it there share.
+    own = counted.withColumns({"g": F.xxhash64("h", "l", "w_a", "w_b"), "repeat": F.lit(-2).cast("long")})
+    return whole.unionByName(own.drop("w_a", "w_b"))
 
 
 def repeat_groups(docs: DataFrame, min_bytes: int = MIN_BYTES, group: int = GROUP) -> DataFrame:
