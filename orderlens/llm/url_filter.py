@@ -109,8 +109,8 @@ def _count_of(text: Column, c: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, c, F.lit("")))
 
 
-def with_features(rows: DataFrame) -> DataFrame:
-    """``rows`` (url, host, path and more) with the lexical features as doubles."""
+def _lexical(rows: DataFrame) -> DataFrame:
+    """``rows`` (url, host, path and more) with the features of the URL itself and its suffix."""
     url, host, path = F.coalesce("url", F.lit("")), F.col("host"), F.col("path")
     query = F.when(F.locate("?", url) > 0, F.substr(url, F.locate("?", url) + 1)).otherwise(F.lit(""))
     size = F.greatest(F.length(url), F.lit(1))
@@ -128,14 +128,23 @@ def with_features(rows: DataFrame) -> DataFrame:
         "n_hyphens": _count(host, "-"),
         "suffix": F.substring_index(host, ".", -1),
     }
-    plain = rows.withColumns({k: v if k == "suffix" else v.cast("double") for k, v in own.items()})
-    per = plain.groupBy("suffix").agg(
+    return rows.withColumns({k: v if k == "suffix" else v.cast("double") for k, v in own.items()})
+
+
+def with_features(rows: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """``rows`` (url, host, path and more) with the lexical features as doubles; suffixes are counted over ``pages``."""
+    plain = _lexical(rows)
+    counted = plain if pages is None else _lexical(pages)
+    per = counted.groupBy("suffix").agg(
         F.count("*").alias("suffix_rows"),
         F.avg("url_length").alias("suffix_mean_length"),
         F.avg("path_depth").alias("suffix_mean_depth"),
     )
-    shares = per.withColumn("suffix_share", F.col("suffix_rows") / F.lit(float(max(1, rows.count()))))
-    return plain.join(shares.drop("suffix_rows"), "suffix")
+    n_pages = (rows if pages is None else pages).count()
+    shares = per.withColumn("suffix_share", F.col("suffix_rows") / F.lit(float(max(1, n_pages)))).drop("suffix_rows")
+    if pages is None:
+        return plain.join(shares, "suffix")
+    return plain.join(shares, "suffix", "left").fillna(0.0, [c for c in shares.columns if c != "suffix"])
 
 
 def train(labelled: DataFrame, rows: int = TRAINING_ROWS):
@@ -143,15 +152,24 @@ def train(labelled: DataFrame, rows: int = TRAINING_ROWS):
 
     The model is None if one of the labels is missing.
     """
-    used = labelled.orderBy(F.xxhash64("url"), "url", "page_id").limit(rows)
-    used = store(used.select(*FEATURES, "label").coalesce(1), "labelled")
-    counts = {r["label"]: r["count"] for r in used.groupBy("label").count().collect()}
+    counts = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
     common = 1.0 if counts.get(1.0, 0) > counts.get(0.0, 0) else 0.0
     if len(counts) < 2:
         return None, common
-    learner = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=SEED, featuresCol="features", labelCol="label")
+    # Copies of a URL are one row with their number as its weight; each label has half of the rows.
+    features = [F.first(c).alias(c) for c in FEATURES]
+    each = labelled.groupBy("url", "label").agg(F.count("*").cast("double").alias("weight"), *features)
+    order = [F.xxhash64("url"), F.col("url"), F.col("label")]
+    halves = [each.filter(F.col("label") == v).orderBy(*order).limit(rows // 2) for v in (0.0, 1.0)]
+    used = halves[0].unionByName(halves[1]).orderBy(*order)
+    used = store(used.select(*FEATURES, "label", "weight").coalesce(1), "labelled")
+    # The labels weigh as much as they do among all rows.
+    held = {r["label"]: r["sum"] for r in used.groupBy("label").agg(F.sum("weight").alias("sum")).collect()}
+    scale = F.when(F.col("label") == 1.0, counts[1.0] / held[1.0]).otherwise(counts[0.0] / held[0.0])
+    used = used.withColumn("weight", F.col("weight") * scale)
+    learner = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=SEED, featuresCol="features", labelCol="label", weightCol="weight")
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(used)
-    return learner.fit(vectors.select("features", "label")), common
+    return learner.fit(vectors.select("features", "label", "weight")), common
 
 
 def judge(pages: DataFrame, rules: Sequence[UrlRule] = RULES, labelled: DataFrame | None = None) -> DataFrame:
@@ -174,7 +192,7 @@ def judge(pages: DataFrame, rules: Sequence[UrlRule] = RULES, labelled: DataFram
     if labelled is None:
         known = featured.filter("decided is not null").withColumn("label", (F.col("decided") == "block").cast("double"))
     else:
-        known = with_features(parts(labelled.select("page_id", "url", F.col("label").cast("double").alias("label"))))
+        known = with_features(parts(labelled.select("page_id", "url", F.col("label").cast("double").alias("label"))), rows)
     model, common = train(known)
     if model is None:
         judged = featured.withColumn("prediction", F.lit(common))

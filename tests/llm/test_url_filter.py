@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import odd
+from pyspark.sql import functions as F
 
 from orderlens.llm import url_filter
 from orderlens.llm.common import table
@@ -91,3 +92,24 @@ def test_held_out_accuracy_of_the_trees(spark):
 def test_plan_has_no_python(spark, folder):
     plan = url_filter.judge(table(spark, folder, "pages"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "NestedLoop" not in plan
+
+
+def test_copies_of_a_url_do_not_fill_the_training_rows(spark):
+    """The URL with the least hash has more copies than there are training rows."""
+    urls = [(n, f"http://{'0123456789' * (n % 2)}host{n}.org/page", float(n % 2)) for n in range(40)]
+    schema = "page_id bigint, url string, label double"
+    least = spark.createDataFrame(urls, schema).orderBy(F.xxhash64("url")).first()
+    known = spark.createDataFrame([*urls, *[(100 + n, least.url, least.label) for n in range(50)]], schema)
+    parts = known.withColumns({"host": url_filter.host_of(F.col("url")), "path": url_filter.path_of(F.col("url"))})
+    model, common = url_filter.train(url_filter.with_features(parts), rows=10)
+    assert model is not None and common == least.label
+
+
+def test_suffixes_are_counted_over_the_pages(spark):
+    def frame(urls):
+        rows = spark.createDataFrame([(n, u) for n, u in enumerate(urls)], "page_id bigint, url string")
+        return rows.withColumns({"host": url_filter.host_of(F.col("url")), "path": url_filter.path_of(F.col("url"))})
+
+    pages = frame(["http://a.org/x", "http://b.org/y", "http://c.com/", "http://d.com/"])
+    got = url_filter.with_features(frame(["http://e.org/", "http://f.net/"]), pages).collect()
+    assert {r.suffix: r.suffix_share for r in got} == {"org": 0.5, "net": 0.0}
