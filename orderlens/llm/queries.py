@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlens.llm import decontaminate, html_text, line_dedup, mixing, quality, repeats, simhash, toxicity, url_filter, warc
+from orderlens.llm import decontaminate, filter_audit, html_text, line_dedup, mixing, quality, repeats, simhash, toxicity, url_filter, warc
 from orderlens.llm.common import table
 
 
@@ -63,6 +63,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_lines", "n_removed", digest)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_url_filter,
         op9_toxicity,
         op10_line_dedup,
+        op11_filter_audit,
     )
 }
 
@@ -214,3 +219,44 @@ WITH d AS (
 SELECT DISTINCT doc_id, item_id FROM places
 WHERE len(list_filter(range(0, width), lambda n: dt[start + shift + n] = it[start + n])) * 100 >= width * 80
 """
+
+ORACLE["op11_filter_audit"] = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORDS}') AS words
+  FROM documents
+), f AS (
+  SELECT doc_id, part, CASE WHEN len(words) < 100 THEN 1 ELSE 0 END
+    + CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * len(regexp_extract_all(text, '[A-Z]')) > 10 * length(text) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END AS fails
+  FROM d
+), g AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels GROUP BY doc_id
+), c AS (
+  SELECT part, fails, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+  FROM f LEFT JOIN g ON g.doc_id = f.doc_id GROUP BY part, fails
+), t AS (
+  SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS t(name, bit)
+), o AS (
+  SELECT a.name || b.name || x.name || y.name || z.name AS filter_order, [a.bit, b.bit, x.bit, y.bit, z.bit] AS bits
+  FROM t a, t b, t x, t y, t z WHERE a.bit | b.bit | x.bit | y.bit | z.bit = 31
+), s AS (
+  SELECT filter_order, step, bits[step] AS own, list_sum(bits[1:step - 1]) AS earlier
+  FROM o, range(1, 6) AS r(step)
+), m AS (
+  SELECT part, filter_order, step, own, n, good, toxic, fails & own <> 0 AS failing, fails & coalesce(earlier, 0)::BIGINT <> 0 AS gone,
+    fails = own AS alone, fails
+  FROM c, s
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step,
+  CAST(coalesce(sum(n) FILTER (NOT failing AND NOT gone), 0) AS BIGINT) AS kept,
+  CAST(coalesce(sum(n) FILTER (failing AND NOT gone), 0) AS BIGINT) AS removed,
+  CAST(coalesce(sum(n) FILTER (failing AND gone), 0) AS BIGINT) AS redundant,
+  CAST(coalesce(sum(n) FILTER (alone), 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(sum(good) FILTER (failing AND NOT gone), 0) AS BIGINT) AS good_lost,
+  CAST(coalesce(sum(toxic) FILTER (failing AND NOT gone), 0) AS BIGINT) AS toxic_lost,
+  CAST(coalesce(sum(n * 120 // greatest(1, bit_count(fails))) FILTER (failing), 0) AS BIGINT) AS shapley
+FROM m GROUP BY part, filter_order, step
+"""
