@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlens.llm import decontaminate, filter_audit, html_text, line_dedup, mixing, quality, repeats, simhash, toxicity, url_filter, warc
+from orderlens.llm import (
+    decontaminate,
+    filter_audit,
+    html_text,
+    lexical_search,
+    line_dedup,
+    mixing,
+    quality,
+    repeats,
+    simhash,
+    substring_dedup,
+    toxicity,
+    url_filter,
+    warc,
+)
 from orderlens.llm.common import table
 
 
@@ -67,6 +81,15 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical_search.build_index(table(spark, sf_dir, "documents"))
+    return lexical_search.search(index, table(spark, sf_dir, "benchmark"))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.measure_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -81,6 +104,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_toxicity,
         op10_line_dedup,
         op11_filter_audit,
+        op12_lexical_search,
+        op13_substring_dedup,
     )
 }
 
@@ -260,3 +285,52 @@ SELECT part, filter_order, CAST(step AS INTEGER) AS step,
   CAST(coalesce(sum(n * 120 // greatest(1, bit_count(fails))) FILTER (failing), 0) AS BIGINT) AS shapley
 FROM m GROUP BY part, filter_order, step
 """
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLE["op12_lexical_search"] = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all({_LOWERED}, '{_TERM}') AS terms FROM documents
+), n AS (
+  SELECT k, doc_id, len(terms) AS n FROM d WHERE len(terms) > 0
+), s AS (
+  SELECT count(*) AS big_n, sum(n)::BIGINT AS big_l FROM n
+), i AS (
+  SELECT row_number() OVER () AS i, * FROM (SELECT DISTINCT item_id, text FROM benchmark)
+), q AS (
+  SELECT i, term, count(*) AS times FROM (SELECT i, unnest(regexp_extract_all({_LOWERED}, '{_TERM}')) AS term FROM i) GROUP BY i, term
+), t AS (
+  SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(terms) AS term FROM d) GROUP BY k, term
+), w AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(big_n) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w
+  FROM t, s WHERE term IN (SELECT term FROM q) GROUP BY term
+), m AS (
+  SELECT k, doc_id, 75 + (25 * n * big_n) // big_l AS m FROM n, s
+), r AS (
+  SELECT q.i, m.k, any_value(m.doc_id) AS doc_id, CAST(sum(q.times * w.w * ((1000000000 * t.tf) // (1000 * t.tf + 12 * m.m))) AS BIGINT) AS score
+  FROM q JOIN w ON w.term = q.term JOIN t ON t.term = q.term JOIN m ON m.k = t.k GROUP BY q.i, m.k
+), o AS (
+  SELECT i, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM r WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o JOIN i ON i.i = o.i WHERE rank <= 20
+"""
+
+ORACLE["op13_substring_dedup"] = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, coalesce(regexp_extract_all(text, '{WORDS}'), []) AS words FROM documents
+), w AS (
+  SELECT k, doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM d
+), g AS (
+  SELECT k, doc_id, place, lead(word, 12) OVER o IS NOT NULL AS whole, string_agg(word, ' ') OVER (o ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS body
+  FROM w WINDOW o AS (PARTITION BY k ORDER BY place)
+), r AS (
+  SELECT k, place, whole AND doc_id > min(doc_id) OVER (PARTITION BY whole, body) AS again FROM g
+), c AS (
+  SELECT k, place, bool_or(again) OVER (PARTITION BY k ORDER BY place ROWS 12 PRECEDING) AS gone FROM r
+), m AS (
+  SELECT w.k, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY w.place) FILTER (NOT gone) AS kept
+  FROM w JOIN c ON c.k = w.k AND c.place = w.place GROUP BY w.k
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN m ON m.k = d.k
+"""
