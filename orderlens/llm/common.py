@@ -35,6 +35,14 @@ def text_key(*columns: str) -> list[Column]:
     ]
 
 
+def row_dicts(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The batches' rows as dictionaries, a bounded slice at a time."""
+    for batch in batches:
+        step = max(1, min(1024, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes)))
+        for start in range(0, batch.num_rows, step):
+            yield from batch.slice(start, step).to_pylist()
+
+
 def map_rows(df: DataFrame, work: Callable[[Iterator[dict]], Iterator[dict]], schema: str) -> DataFrame:
     """Run ``work`` over each partition's rows as dictionaries, a bounded slice at a time.
 
@@ -48,15 +56,9 @@ def map_rows(df: DataFrame, work: Callable[[Iterator[dict]], Iterator[dict]], sc
     assert isinstance(kind, StructType)
     arrow = to_arrow_schema(kind)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
-            step = max(1, min(1024, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes)))
-            for start in range(0, batch.num_rows, step):
-                yield from batch.slice(start, step).to_pylist()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for row in work(rows(batches)):
+        for row in work(row_dicts(batches)):
             held.append(row)
             size += 64 + sum(len(v) for v in row.values() if isinstance(v, (str, bytes, list)))
             if size >= SLICE_BYTES or len(held) >= 4096:

@@ -26,13 +26,14 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.llm.common import WORD, map_rows
+from orderlens.llm.common import WORD, map_rows, row_dicts
 from orderlens.llm.words import Block, mixed
-from orderlens.session import store
+from orderlens.session import shuffles_released, store
 
 WINDOW = 13
 RUN = 5
@@ -40,6 +41,10 @@ RUN = 5
 BLOCK_PIECES = 2_000
 # Words whose anchors are chosen at a time; places within fit 20 bits.
 CHUNK = 500_000
+# Bytes of texts that are read at a time; a longer one is read by itself.
+TEXT_BYTES = 1 << 20
+# Pieces that a task remembers, so as to give the words of each but once.
+REMEMBERED = 100_000
 
 _PLACE = np.uint64((1 << 20) - 1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -66,8 +71,12 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - rest], values[rest:])
 
 
-def anchors(hashes: np.ndarray, window: int = WINDOW, run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes (as signed longs) of the anchors of a sequence of words."""
+def anchors(hashes: np.ndarray, sizes: np.ndarray, window: int = WINDOW, run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes (as signed longs) of the anchors of sequences of words that stand one after another.
+
+    ``sizes`` counts the words of each. Windows lie within a sequence.
+    """
+    of = np.repeat(np.arange(len(sizes)), sizes)
     places, found = [], []
     for start in range(0, len(hashes) - window + 1, CHUNK):
         part = hashes[start : start + CHUNK + window - 1]
@@ -76,7 +85,9 @@ def anchors(hashes: np.ndarray, window: int = WINDOW, run: int = RUN) -> tuple[n
             runs = runs * _STEP + part[k : k + len(runs)]
         runs = mixed(runs)
         tagged = (runs & ~_PLACE) | np.arange(len(runs), dtype=np.uint64)
-        chosen = np.unique(_least(tagged, window - run + 1) & _PLACE).astype(np.int64)
+        own = of[start : start + len(part)]
+        within = own[: len(part) - window + 1] == own[window - 1 :]
+        chosen = np.unique(_least(tagged, window - run + 1)[within] & _PLACE).astype(np.int64)
         places.append(chosen + start)
         found.append(runs[chosen])
     if not places:
@@ -85,6 +96,33 @@ def anchors(hashes: np.ndarray, window: int = WINDOW, run: int = RUN) -> tuple[n
     return place, np.concatenate(found)[first].view(np.int64)
 
 
+class Texts:
+    """Some rows with their texts' words, hashed together, and the anchors of each."""
+
+    def __init__(self, rows: list[dict], window: int, run: int) -> None:
+        self.rows = rows
+        self.words = [split_words(row["text"]) for row in rows]
+        sizes = np.array([len(w) for w in self.words])
+        places, hashes = anchors(word_hashes([w for words in self.words for w in words]), sizes, window, run)
+        begins = np.cumsum(sizes) - sizes
+        edges = np.searchsorted(places, np.append(begins, sizes.sum()))
+        # Places count from each text's own first word.
+        self.anchors = [(places[a:b] - begin, hashes[a:b]) for a, b, begin in zip(edges, edges[1:], begins)]
+
+
+def _groups(rows: Iterator[dict]) -> Iterator[list[dict]]:
+    held, size = [], 0
+    for row in rows:
+        n = len(row["text"] or "")
+        if held and size + n > TEXT_BYTES:
+            yield held
+            held, size = [], 0
+        held.append(row)
+        size += n
+    if held:
+        yield held
+
+
 # ---------------------------------------------------------------- relative parsing
 
 
@@ -171,20 +209,20 @@ def _sequences(docs: DataFrame, window: int, run: int) -> DataFrame:
     """
 
     def read(rows: Iterator[dict]) -> Iterator[dict]:
-        for row in rows:
-            words = split_words(row["text"])
-            joined = b" ".join(words)
-            a, b = _halves(joined)
-            hashes = np.unique(anchors(word_hashes(words), window, run)[1]).tolist() if len(words) >= window else []
-            yield {
-                "doc": row["doc"],
-                "k": row["k"],
-                "s_a": a,
-                "s_b": b,
-                "n_words": len(words),
-                "sha256": hashlib.sha256(joined).hexdigest(),
-                "anchors": hashes,
-            }
+        for some in _groups(rows):
+            texts = Texts(some, window, run)
+            for row, words, (_, hashes) in zip(some, texts.words, texts.anchors):
+                joined = b" ".join(words)
+                a, b = _halves(joined)
+                yield {
+                    "doc": row["doc"],
+                    "k": row["k"],
+                    "s_a": a,
+                    "s_b": b,
+                    "n_words": len(words),
+                    "sha256": hashlib.sha256(joined).hexdigest(),
+                    "anchors": np.unique(hashes).tolist(),
+                }
 
     schema = "doc bigint, k bigint, s_a bigint, s_b bigint, n_words bigint, sha256 string, anchors array<bigint>"
     return store(map_rows(_named(docs), read, schema), "sequences")
@@ -207,42 +245,59 @@ def _pieces(docs: DataFrame, sequences: DataFrame, owners: DataFrame, window: in
     """Stored rows (h, c_a, c_b, s_a, s_b, first, start, n, words): a sequence's pieces around anchors that occur again.
 
     ``first`` is the smallest doc_id that has the sequence; (c_a, c_b) names
-    the piece's ``n`` words and the anchor's place among them.
+    the piece's ``n`` words and the anchor's place among them. A task gives a
+    piece's ``words`` when it first meets it, and later null.
     """
     each = sequences.select("s_a", F.explode("anchors").alias("h"))
     # Stored, so that the join is between freshly shuffled sides and a frequent anchor's partition can be split.
     again = store(each.groupBy("h").count().filter("count > 1").select("h"), "again")
     # Half of a sequence's name will do: anchors of another sequence are not found in its text.
-    marks = each.join(again, "h").groupBy("s_a").agg(F.collect_set("h").alias("marks"))
-
-    def cut(rows: Iterator[dict]) -> Iterator[dict]:
-        for row in rows:
-            words = split_words(row["text"])
-            places, found = anchors(word_hashes(words), window, run)
-            marked = np.isin(found, np.array(row["marks"], np.int64))
-            for at, h in zip(places[marked].tolist(), found[marked].tolist()):
-                start, end = max(0, at - (window - run)), min(len(words), at + window)
-                piece = b" ".join(words[start:end])
-                c_a, c_b = _halves((at - start).to_bytes(4, "big") + piece)
-                own = {"h": h, "c_a": c_a, "c_b": c_b, "start": start, "n": end - start, "words": piece}
-                yield own | {c: row[c] for c in (*SEQUENCE, "first")}
+    marks = store(each.join(again, "h").groupBy("s_a").agg(F.collect_set("h").alias("marks")), "marks")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[bytes] = set()
+        for some in _groups(row_dicts(batches)):
+            texts = Texts(some, window, run)
+            for row, words, (places, hashes) in zip(some, texts.words, texts.anchors):
+                marked = np.isin(hashes, np.array(row["marks"], np.int64))
+                places, hashes = places[marked], hashes[marked]
+                if not len(places):
+                    continue
+                joined, sizes = b" ".join(words), np.fromiter(map(len, words), np.int64, len(words))
+                ends = np.cumsum(sizes + 1) - 1
+                start, end = np.maximum(0, places - (window - run)), np.minimum(len(words), places + window)
+                names, given = [], []
+                for a, b, at in zip((ends - sizes)[start].tolist(), ends[end - 1].tolist(), (places - start).tolist()):
+                    name = xxhash.xxh3_128_digest(joined[a:b], seed=at)
+                    names.append(name)
+                    given.append(None if name in known else joined[a:b])
+                    if len(known) >= REMEMBERED:
+                        known.clear()
+                    known.add(name)
+                c = np.frombuffer(b"".join(names), ">i8").astype(np.int64).reshape(-1, 2)
+                columns = [hashes, c[:, 0], c[:, 1], *(np.full(len(places), row[x]) for x in (*SEQUENCE, "first")), start, end - start]
+                arrays = [pa.array(np.ascontiguousarray(x)) for x in columns] + [pa.array(given, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, [*PIECE, *SEQUENCE, "first", "start", "n", "words"])
 
     schema = "h bigint, c_a bigint, c_b bigint, s_a bigint, s_b bigint, first bigint, start bigint, n bigint, words binary"
     texts = _texts(docs, owners.join(marks, "s_a")).select("text", *SEQUENCE, "first", "marks")
-    return store(map_rows(texts, cut, schema), "pieces")
+    return store(texts.mapInArrow(cut, schema), "pieces")
 
 
 def _parsed(blocks: DataFrame, window: int) -> DataFrame:
-    """(h, c_a, c_b, spans): the factors of the pieces of every block."""
+    """(h, c_a, c_b, spans): the factors of the pieces of every block.
+
+    A block lists its pieces' doc_ids and their words apart.
+    """
 
     def work(rows: Iterator[dict]) -> Iterator[dict]:
         for row in rows:
-            pieces = sorted(row["pieces"], key=lambda p: p["first"])
-            sequences = [(tuple(p["words"].split()), p["first"]) for p in pieces]
-            for piece, spans in zip(pieces, parse_block(sequences, window)):
+            words = {(p["c_a"], p["c_b"]): tuple(p["words"].split()) for p in row["pieces"] if p["words"] is not None}
+            owned = sorted((p["first"], p["c_a"], p["c_b"]) for p in row["pieces"] if p["words"] is None)
+            pieces = [(words[a, b], first) for first, a, b in owned]
+            for (_, a, b), spans in zip(owned, parse_block(pieces, window)):
                 if spans:
-                    named = {"h": row["h"], "c_a": piece["c_a"], "c_b": piece["c_b"]}
-                    yield named | {"spans": [{"start": a, "end": b} for a, b in spans]}
+                    yield {"h": row["h"], "c_a": a, "c_b": b, "spans": [{"start": x, "end": y} for x, y in spans]}
 
     return map_rows(blocks, work, f"h bigint, c_a bigint, c_b bigint, spans {SPANS}")
 
@@ -269,15 +324,15 @@ def _by_windows(pieces: DataFrame, window: int) -> DataFrame:
 
 def _duplicates(pieces: DataFrame, window: int, block_pieces: int) -> DataFrame:
     """(s_a, s_b, found): every sequence's spans that earlier ones have, unordered, for its first row."""
-    distinct = store(
-        pieces.groupBy(*PIECE).agg(F.min("first").alias("first"), F.max("first").alias("last"), F.first("words").alias("words")),
-        "distinct",
-    )
+    distinct = store(pieces.groupBy(*PIECE).agg(F.min("first").alias("first"), F.max("first").alias("last")), "distinct")
     sizes = store(distinct.groupBy("h").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
     small, large = sizes.filter(F.col("size") <= block_pieces), sizes.filter(F.col("size") > block_pieces)
-    # A block is bounded, so it may be gathered.
-    blocks = distinct.join(small, "h").groupBy("h").agg(F.collect_list(F.struct("c_a", "c_b", "first", "words")).alias("pieces"))
-    parsed = _parsed(blocks, window).unionByName(_by_windows(distinct.join(large, "h"), window))
+    worded = pieces.filter("words is not null").select(*PIECE, "words")
+    either = distinct.select(*PIECE, "first", F.lit(None).cast("binary").alias("words")).unionByName(worded, allowMissingColumns=True)
+    # A block is bounded, so it may be gathered; as a set, as several tasks may give a piece's words.
+    blocks = either.join(small, "h").groupBy("h").agg(F.collect_set(F.struct("c_a", "c_b", "first", "words")).alias("pieces"))
+    crowded = distinct.join(large, "h").join(worded.dropDuplicates(PIECE), PIECE)
+    parsed = _parsed(blocks, window).unionByName(_by_windows(crowded, window))
     # Pieces that later sequences share as they are, or that have factors.
     known = store(
         distinct.select(*PIECE, F.col("first").alias("least"), "last").join(parsed, PIECE, "left").filter("least < last or spans is not null"),
@@ -296,9 +351,28 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, run: int = RUN, block_pi
     ``spans`` lists the removed runs of words as (start, end), null if there is
     none; (doc, k) names the row, see ``_named``.
     """
-    sequences = _sequences(docs, window, run)
-    owners = _owners(sequences)
-    found = _duplicates(_pieces(docs, sequences, owners, window, run), window, block_pieces)
+    with shuffles_released(docs.sparkSession):
+        sequences = _sequences(docs, window, run)
+        owners = _owners(sequences)
+        pieces = _pieces(docs, sequences, owners, window, run)
+        found = store(_duplicates(pieces, window, block_pieces), "spans")
+        first = store(_removed(docs, owners, found), "removed")
+    rows = sequences.drop("anchors").join(first, SEQUENCE)
+    # All windows of a sequence that an earlier document has as a whole stand there.
+    copy = (F.col("doc") > F.col("first")) & (F.col("n_words") >= window)
+    own = (F.col("doc") == F.col("first")) & F.col("spans").isNotNull()
+    all_words = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end")))
+    return rows.select(
+        *ROW,
+        "n_words",
+        F.when(copy, F.col("n_words")).when(own, F.col("n_removed")).otherwise(0).cast("long").alias("n_removed"),
+        F.when(copy, F.lit(hashlib.sha256().hexdigest())).when(own, F.col("kept_sha256")).otherwise(F.col("sha256")).alias("kept_sha256"),
+        F.when(copy, all_words).when(own, F.col("spans")).alias("spans"),
+    )
+
+
+def _removed(docs: DataFrame, owners: DataFrame, found: DataFrame) -> DataFrame:
+    """(s_a, s_b, first, n_removed, kept_sha256, spans): what goes from the first row of every sequence."""
 
     def remove(rows: Iterator[dict]) -> Iterator[dict]:
         for row in rows:
@@ -322,19 +396,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, run: int = RUN, block_pi
     texts = _texts(docs, owners.join(found, SEQUENCE)).select("text", *SEQUENCE, "found")
     # Repeated rows give the same twice.
     removed = map_rows(texts, remove, schema).dropDuplicates(SEQUENCE)
-    first = store(owners.select(*SEQUENCE, "first").join(removed, SEQUENCE, "left"), "removed")
-    rows = sequences.drop("anchors").join(first, SEQUENCE)
-    # All windows of a sequence that an earlier document has as a whole stand there.
-    copy = (F.col("doc") > F.col("first")) & (F.col("n_words") >= window)
-    own = (F.col("doc") == F.col("first")) & F.col("spans").isNotNull()
-    all_words = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end")))
-    return rows.select(
-        *ROW,
-        "n_words",
-        F.when(copy, F.col("n_words")).when(own, F.col("n_removed")).otherwise(0).cast("long").alias("n_removed"),
-        F.when(copy, F.lit(hashlib.sha256().hexdigest())).when(own, F.col("kept_sha256")).otherwise(F.col("sha256")).alias("kept_sha256"),
-        F.when(copy, all_words).when(own, F.col("spans")).alias("spans"),
-    )
+    return owners.select(*SEQUENCE, "first").join(removed, SEQUENCE, "left")
 
 
 def measure_repeats(docs: DataFrame, **options: int) -> DataFrame:
