@@ -126,3 +126,70 @@ def test_jdbc_bounds_are_asked_per_table_and_key(spark, monkeypatch):
         assert (read[name]["partitionColumn"], read[name]["lowerBound"]) == (key, str(number))
         assert read[name]["numPartitions"] == str(spark.sparkContext.defaultParallelism)
     assert "partitionColumn" not in read[m.GROUP_TABLE] and read[m.GROUP_TABLE]["fetchsize"] == jdbc.FETCH_ROWS
+
+
+def test_jdbc_shares_cut_every_row_once(spark):
+    """Conditions run on a table of text keys, quotes and nulls among them."""
+    keys = ["A-1", "a-2", "b'c", "", None, "Zz", "\u00e9t\u00e9", "b'c", "10", "9"]
+    df = spark.createDataFrame([(k,) for k in keys], "k string")
+    for edges in (["", "A-1", "b'c"], ["10", "9"], ["", "Zz", "a-2", "b'c", "\u00e9t\u00e9"]):
+        predicates = jdbc.share_predicates("k", edges)
+        assert len(predicates) == len(edges)
+        assert sum(df.filter(p).count() for p in predicates) == len(keys)
+    assert jdbc.share_predicates("k", ["a"]) == jdbc.share_predicates("k", []) == []
+    assert jdbc.share_predicates("k", [1, 5, 9]) == ["k < 5 OR k IS NULL", "k >= 5 AND k < 9", "k >= 9"]
+
+
+def test_jdbc_text_keys_are_read_by_shares(spark, monkeypatch):
+    """No database: the edges come from Spark SQL, and the options are looked at."""
+    table = spark.createDataFrame([(f"No {n:03d}", n) for n in range(97)] + [("No 000", 0)] * 50, f"{m.ORDER} string, n int")
+    table.createOrReplaceTempView("text_keys")
+    given = {}
+
+    class Reader:
+        def format(self, kind):
+            return self
+
+        def options(self, **more):
+            return self
+
+        def option(self, name, value):
+            return self
+
+        def load(self):
+            return table
+
+        def jdbc(self, url, name, predicates, properties):
+            given.update(url=url, name=name, predicates=predicates, properties=properties)
+            return table
+
+    class Session:
+        sparkContext = spark.sparkContext
+        read = Reader()
+
+    monkeypatch.setattr(jdbc, "read_query", lambda session, options, query: spark.sql(query))
+    options = {"url": "jdbc:x", "user": "u"}
+    assert jdbc.read_table(Session(), options, "text_keys", m.ORDER, 4) is table
+    assert (given["url"], given["name"], given["properties"]) == ("jdbc:x", "text_keys", {"user": "u", "fetchsize": "10000"})
+    sizes = [table.filter(p).count() for p in given["predicates"]]
+    assert sum(sizes) == table.count() and len(sizes) == 3 and max(sizes) <= 2 * 37
+    given.clear()
+    jdbc.read_table(Session(), options, "text_keys", "n", 4, shares=True)
+    assert sum(table.filter(p).count() for p in given["predicates"]) == table.count()
+
+
+def test_the_pushed_join_is_the_base_relation(spark, folder):
+    from orderlens.operators import base
+    from orderlens.plans import ask
+    from orderlens.sources.roles import order_roles
+
+    tables = order_roles(spark, folder)
+    ask.register(tables)
+    pushed = spark.sql(jdbc.base_query(None))
+    assert pushed.columns == m.BASE_COLUMNS
+    assert sorted(tuples(pushed), key=repr) == sorted(tuples(base.base_orders(tables)), key=repr)
+    cut = jdbc.base_query(50)
+    assert cut.startswith("SELECT TOP 50 ")
+    # Spark has LIMIT for TOP.
+    first = spark.sql(cut.replace("SELECT TOP 50 ", "SELECT ").replace("j.ORDER_JRNL_CMT_TXT DESC", "j.ORDER_JRNL_CMT_TXT DESC NULLS LAST") + " LIMIT 50")
+    assert tuples(first) == tuples(base.top_comments(base.base_orders(tables), 50))
