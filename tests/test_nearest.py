@@ -32,12 +32,12 @@ def brute_force(orders, vectors, comments, query, vector, k):
     return [(order, comment, d) for d, order, comment in sorted(near)[:k]]
 
 
-@pytest.mark.parametrize("beside", [7, 32_768])
+@pytest.mark.parametrize("leaf", [7, 256])
 @pytest.mark.parametrize("scale", [1.0, 1e-9, 1e9, 1e140])
 @pytest.mark.parametrize("shift", [0.0, 1e6])
 @given(seed=st.integers(0, 10_000), n=st.integers(1, 80), span=st.integers(1, 6), k=st.integers(1, 7))
 @settings(max_examples=25, deadline=None)
-def test_nearest(beside, scale, shift, seed, n, span, k):
+def test_nearest(leaf, scale, shift, seed, n, span, k):
     pick = np.random.default_rng(seed)
     orders = pick.integers(0, max(2, n // 2), n)
     vectors = pick.integers(0, span, (n, m.LAGS)) * scale + shift
@@ -45,11 +45,13 @@ def test_nearest(beside, scale, shift, seed, n, span, k):
     queries = pick.integers(-3, max(2, n // 2), 30)
     asked = pick.integers(0, span, (30, m.LAGS)) * scale + shift
     asked[pick.random(30) < 0.1, 5] = np.nan
-    before, nearest.RECORDS_PER_STEP = nearest.RECORDS_PER_STEP, beside
-    try:
-        found = nearest.Records(table(orders, vectors, comments)).nearest(table(queries, asked), k).to_pylist()
-    finally:
-        nearest.RECORDS_PER_STEP = before
+    records = nearest.Records(table(orders, vectors, comments), leaf)
+    found = records.nearest(table(queries, asked), k).to_pylist()
+    # Limits at the k-th distance or above change nothing.
+    last = [x[-1]["distance"] if len(x) == k else None for x in found]
+    limits = [d if d is None or pick.random() < 0.5 else 2 * d for d in last]
+    again = records.nearest(table(queries, asked), k, np.array(limits, dtype=np.float64)).to_pylist()
+    assert again == found
     for query, vector, near in zip(queries, asked, found):
         assert [tuple(x.values()) for x in near] == brute_force(orders, vectors, comments, query, vector, k)
 
@@ -80,3 +82,28 @@ def test_cells_and_boxes(seed, n, span):
         asked = pick.integers(-3, span + 3, (20, m.LAGS)).astype(float)
         true = ((asked[:, None] - own[None]) ** 2).sum(axis=2).min(axis=1)
         assert (nearest.box_distance(asked, low, high)[:, 0] <= true).all()
+
+
+@given(seed=st.integers(0, 10_000), n=st.integers(1, 300), span=st.integers(1, 9))
+@settings(max_examples=60, deadline=None)
+def test_leaves_are_within_their_bounds(seed, n, span):
+    pick = np.random.default_rng(seed)
+    vectors = pick.integers(0, span, (n, m.LAGS)) @ pick.standard_normal((m.LAGS, m.LAGS)) * 10.0 ** pick.integers(-5, 6)
+    leaves = nearest.Leaves(vectors, 20)
+    assert sorted(np.concatenate(leaves.members).tolist()) == list(range(n))
+    asked = np.concatenate([vectors[:10], vectors[:10] + pick.standard_normal((min(n, 10), m.LAGS)) * 3])
+    lower = leaves.bounds(asked)
+    for leaf, members in enumerate(leaves.members):
+        assert (np.diff(members) > 0).all()
+        true = ((asked[:, None] - vectors[members][None]) ** 2).sum(axis=2).min(axis=1)
+        assert (lower[:, leaf] <= true).all()
+
+
+def test_leaves_beyond_the_limit_are_left_out():
+    """Lags that move together: most of a cell is never compared."""
+    pick = np.random.default_rng(4)
+    level, slope = pick.random(5000) * 100, pick.random(5000) * 10
+    vectors = level[:, None] + slope[:, None] * np.arange(m.LAGS) + pick.random((5000, m.LAGS))
+    records = nearest.Records(table(np.arange(5000), vectors, ["c"] * 5000))
+    records.nearest(table(np.arange(5000), vectors), 5)
+    assert records.compared < 5000 * 5000 * 0.15
