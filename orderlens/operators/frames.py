@@ -9,7 +9,7 @@ from operator import or_
 from typing import Any
 
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from orderlens import model as m
@@ -96,11 +96,17 @@ def page_count(df: DataFrame, size: int = m.PAGE_ROWS) -> DataFrame:
 def search_page(
     df: DataFrame, term: str, number: int, order: Sequence[Column], literal: bool = False, size: int = m.PAGE_ROWS
 ) -> DataFrame:
-    """One page of the search result, with the result's row and page counts."""
-    found = search(df, term, literal)
-    # One row of counts, evaluated once.
-    counts = page_count(found, size).select(F.struct("row_count", "page_count")).scalar()
-    return page(found, number, order, size).withColumn("_counts", counts).select(*df.columns, "_counts.*")
+    """One page of the search result, with the result's row and page counts.
+
+    The page is fetched at once (``size`` rows), and the result is counted in
+    passing: rows are observed on their way into the cut.
+    """
+    seen = Observation()
+    counted = search(df, term, literal).observe(seen, F.count(F.lit(1)).alias("row_count"))
+    rows = page(counted, number, order, size).collect()
+    total = seen.get["row_count"]
+    counts = {"row_count": F.lit(total).cast("long"), "page_count": F.lit(-(-total // size)).cast("long")}
+    return df.sparkSession.createDataFrame([tuple(r) for r in rows], df.schema).withColumns(counts)
 
 
 def last_rows(df: DataFrame, n: int = m.ACTION_ROWS) -> DataFrame:

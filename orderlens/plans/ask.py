@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from dataclasses import dataclass
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, CalendarIntervalType, DataType, MapType, NullType, StructType
 
 from orderlens import model as m
 from orderlens.functions.answers import extract_queries
-from orderlens.operators.frames import deny_columns
+from orderlens.plans import guard
+from orderlens.session import store
 from orderlens.sources.roles import OrderRoles
 
 # Outcome texts.
@@ -26,7 +29,7 @@ EXPLAINED = "\n\nThis shows: {explanation}"
 
 @dataclass(frozen=True)
 class QueryResult:
-    """Outcome of a query; ``results`` is evaluated only when used."""
+    """Outcome of a query; ``results`` are stored rows, so using them does not run the query again."""
 
     success: bool
     results: DataFrame | None
@@ -37,9 +40,14 @@ class QueryResult:
     column_count: int | None = None
 
 
+# Names of published views, by application.
+_published: dict[str, set[str]] = {}
+
+
 def publish(df: DataFrame, name: str) -> None:
-    """Make ``df`` known to SQL, without its denied columns: a query that names one fails."""
-    deny_columns(df).createOrReplaceTempView(name)
+    """Make ``df`` known to queries, without its denied columns and fields: a query that names one fails."""
+    guard.without_denied(df).createOrReplaceTempView(name)
+    _published.setdefault(df.sparkSession.sparkContext.applicationId, set()).add(name.lower())
 
 
 def register(roles: OrderRoles) -> None:
@@ -49,41 +57,57 @@ def register(roles: OrderRoles) -> None:
         publish(df, name)
 
 
-FILES_AS_TABLES = "spark.sql.runSQLOnFiles"
+def select(spark: SparkSession, sql: str, functions: Collection[str] = ()) -> DataFrame:
+    """The result of one SELECT over published views, without denied columns; see ``guard.checked`` for what may run.
 
+    ``functions`` names registered functions that are allowed besides Spark's own.
+    """
+    known = _published.get(spark.sparkContext.applicationId, set())
+    return guard.without_denied(guard.checked(spark, sql.strip(), known, functions))
 
-def select(spark: SparkSession, sql: str) -> DataFrame:
-    """The result of one SELECT, without denied columns.
 
-    The text is read as a subquery and as a named query, where Spark accepts
-    a query but no command and no second statement; a text that closes one of
-    them early does not fit the other. Files cannot be read as tables. Columns
-    denied by name are absent from the views themselves, see ``publish``.
-    """
-    text = sql.strip().rstrip(";")
-    before = spark.conf.get(FILES_AS_TABLES)
-    spark.conf.set(FILES_AS_TABLES, "false")
-    try:
-        spark.sql(f"WITH q AS (\n{text}\n) SELECT * FROM q")
-        return deny_columns(spark.sql(f"SELECT * FROM (\n{text}\n) AS q"))
-    finally:
-        spark.conf.set(FILES_AS_TABLES, before)
+def _storable(kind: DataType) -> bool:
+    """Whether Parquet has the type."""
+    if isinstance(kind, StructType):
+        return bool(kind.fields) and all(_storable(f.dataType) for f in kind.fields)
+    if isinstance(kind, ArrayType):
+        return _storable(kind.elementType)
+    if isinstance(kind, MapType):
+        return _storable(kind.keyType) and _storable(kind.valueType)
+    return not isinstance(kind, (NullType, CalendarIntervalType))
 
 
-def evaluate(df: DataFrame) -> int:
-    """Evaluate every column of every row without keeping any; the row count.
+def evaluate(df: DataFrame) -> tuple[DataFrame, int]:
+    """``df`` as a stored table in its own order, and its row count, observed while it is written.
 
-    A plain count would skip the columns, and with them their errors.
+    Columns of a type that cannot be stored are evaluated but not kept: then
+    ``df`` itself is given back. A plain count would skip columns, and with
+    them their errors.
     """
-    numbered = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-    whole_row = F.struct("*").cast("string")
-    return numbered.agg(F.count(F.lit(1)).alias("rows"), F.max(F.length(whole_row))).first()["rows"]
+    names = df.columns
+    numbered = df.toDF(*[f"c{i}" for i in range(len(names))])
+    if not names or not _storable(df.schema):
+        whole_row = F.struct("*").cast("string")
+        return df, numbered.agg(F.count(F.lit(1)).alias("rows"), F.max(F.length(whole_row))).first()["rows"]
+    sorted_rows = guard.keeps_order(df)
+    if sorted_rows:
+        numbered = numbered.withColumn("place", F.monotonically_increasing_id())
+    seen = Observation()
+    found = store(numbered.observe(seen, F.count(F.lit(1)).alias("rows")), "result")
+    if sorted_rows:
+        found = found.orderBy("place").drop("place")
+    return found.toDF(*names), seen.get["rows"]
 
 
 def run_query(
-    spark: SparkSession, sql: str | None, explanation: str = "", max_rows: int | None = None, context: str | None = ""
+    spark: SparkSession,
+    sql: str | None,
+    explanation: str = "",
+    max_rows: int | None = None,
+    context: str | None = "",
+    functions: Collection[str] = (),
 ) -> QueryResult:
-    """Run ``sql`` and describe the outcome; errors become a failed result.
+    """Run ``sql`` once and describe the outcome; errors and refused queries become a failed result.
 
     ``context`` is the schema outline the query was written from; None says
     that there was none. ``max_rows`` cuts the result, if given.
@@ -93,11 +117,11 @@ def run_query(
     if not sql:
         return QueryResult(False, None, NO_QUERY, None)
     try:
-        results = select(spark, sql)
+        results = select(spark, sql, functions)
         if max_rows is not None:
             results = results.limit(max_rows)
-        rows = evaluate(results)
-    except PySparkException:
+        results, rows = evaluate(results)
+    except (PySparkException, guard.RefusedQuery):
         return QueryResult(False, None, QUERY_FAILED, None, sql)
     columns = len(results.columns)
     if rows == 0:

@@ -6,6 +6,7 @@ from orderlens import model as m
 from orderlens.functions import answers as a
 from orderlens.operators import outline as o
 from orderlens.plans import ask
+from orderlens.operators.trends import CHANCE_LIMIT, LEAST_EXPECTED
 from orderlens.plans import registry as r
 from orderlens.sources.roles import JOURNAL_TYPE_ROWS
 
@@ -365,6 +366,10 @@ SELECT * FROM (SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders ORDER
     "page_offset": f"WITH {FRAME} SELECT * FROM frame ORDER BY {FRAME_ORDER} LIMIT {m.PAGE_ROWS} OFFSET {r.PAGE_NUMBER * m.PAGE_ROWS}",
     "page_keyset": f"""WITH {ORDER_TABLES} SELECT * FROM hist WHERE {SOME_TREND}
 ORDER BY {KEYSET_ORDER} LIMIT {m.PAGE_ROWS} OFFSET {r.PAGE_NUMBER * m.PAGE_ROWS}""",
+    "page_late": f"""WITH {WHOLE},
+numbered AS (SELECT *, (row_number() OVER (ORDER BY {FRAME_ORDER}) - 1) // {m.PAGE_ROWS} AS page_number FROM whole),
+late AS (SELECT CAST(ceil(count(*) / {m.PAGE_ROWS}) AS BIGINT) * 4 // 5 AS late FROM whole)
+SELECT {BASE_LIST}, page_number FROM numbered JOIN late ON page_number = late""",
     "parse_answers": f"""
 WITH clean AS (SELECT doc_id, source, replace(regexp_replace(text, '```json\\s*', '', 'g'), '```', '') AS text FROM documents)
 SELECT doc_id, CASE WHEN doc_id % 8 < 3 THEN text ELSE {_lit(a.BAD_PREDICTION[0])} END AS predicted_comment,
@@ -386,6 +391,21 @@ SELECT ORDERNUMBER, INGRD_GRP_ID, n_lags, trend_mean, trend_stddev, trend_min, t
     "trend_shape": f"""WITH {ORDER_TABLES}, {_features("hist", "ORDERNUMBER, INGRD_GRP_ID")}
 SELECT ORDERNUMBER, INGRD_GRP_ID, shape FROM shapes""",
     "pattern_comments": f"WITH {WHOLE}, {_patterns('whole')} SELECT shape, rank, comment, n, share FROM patterns WHERE rank <= 5",
+    "pattern_association": f"""WITH {WHOLE}, {_features("whole", "ORDER_JRNL_CMT_TXT, INGRD_GRP_NM")},
+rows AS (SELECT INGRD_GRP_NM, shape, ORDER_JRNL_CMT_TXT AS comment FROM shapes WHERE ORDER_JRNL_CMT_TXT IS NOT NULL),
+pairs AS (SELECT INGRD_GRP_NM, shape, comment, count(*) AS n FROM rows GROUP BY ALL),
+sides AS (
+  SELECT *, CAST(SUM(n) OVER (PARTITION BY INGRD_GRP_NM, shape) AS DOUBLE) AS s,
+         CAST(SUM(n) OVER (PARTITION BY INGRD_GRP_NM, comment) AS DOUBLE) AS c,
+         CAST(SUM(n) OVER (PARTITION BY INGRD_GRP_NM) AS DOUBLE) AS t FROM pairs),
+tested AS (
+  SELECT *, s * c / t AS expected, n::DOUBLE * t / (s * c) AS lift,
+         CASE WHEN s * (t - s) * c * (t - c) > 0
+              THEN t * (n::DOUBLE * t - s * c) * (n::DOUBLE * t - s * c) / (s * (t - s) * c * (t - c)) END AS chi_square
+  FROM sides)
+SELECT INGRD_GRP_NM, shape, comment, n, expected, lift, chi_square,
+       coalesce(n > expected AND expected >= {LEAST_EXPECTED} AND chi_square > {CHANCE_LIMIT}, false) AS consistent
+FROM tested""",
     "knn_orders": f"""WITH {KNN_FRAME}
 SELECT ORDERNUMBER, INGRD_GRP_NM, rank, neighbour_order, neighbour_comment, distance FROM knn""",
     "knn_blocked": f"""WITH {KNN_GROUP}
@@ -412,5 +432,6 @@ UNION ALL SELECT 'no rows', true, {_lit(ask.NOTHING_FOUND)}, {_lit(ask.NOTHING_S
 UNION ALL SELECT 'error', false, {_lit(ask.QUERY_FAILED)}, NULL, NULL, NULL
 UNION ALL SELECT 'no query', false, {_lit(ask.NO_QUERY)}, NULL, NULL, NULL
 UNION ALL SELECT 'command', false, {_lit(ask.QUERY_FAILED)}, NULL, NULL, NULL
+UNION ALL SELECT 'unsafe function', false, {_lit(ask.QUERY_FAILED)}, NULL, NULL, NULL
 UNION ALL SELECT 'no context', false, {_lit(ask.NO_CONTEXT)}, NULL, NULL, NULL""",
 }

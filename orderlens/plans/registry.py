@@ -12,7 +12,8 @@ from orderlens import model as m
 from orderlens.functions.answers import extract_queries, parse_predictions
 from orderlens.functions.connections import connection_fields
 from orderlens.functions.values import kinds, to_number
-from orderlens.operators import base, context, frames, outline, similar, trends
+from orderlens.operators import approximate, base, context, frames, outline, similar, trends
+from orderlens.operators.pages import page_map
 from orderlens.plans import ask, predict
 from orderlens.session import fresh_path, store
 from orderlens.sources import files, roles as order_sources, texts
@@ -270,6 +271,14 @@ def page_keyset(spark: SparkSession, folder: str) -> DataFrame:
     return frames.page_after(df, PAGE_KEYS, last)
 
 
+def page_late(spark: SparkSession, folder: str) -> DataFrame:
+    """The page four fifths of the way through the whole frame, read through its page map."""
+    df = stored_frame(spark, folder)
+    pages = page_map(df, base.frame_order(df.columns))
+    number = pages.page_count() * 4 // 5
+    return pages.page(number).withColumn("page_number", F.lit(number).cast("long"))
+
+
 def parse_answers(spark: SparkSession, folder: str) -> DataFrame:
     return parse_predictions(texts.prediction_answers(spark, folder), "answer").drop("answer")
 
@@ -292,12 +301,22 @@ def pattern_comments(spark: SparkSession, folder: str) -> DataFrame:
     return trends.pattern_comments(whole_frame(spark, folder))
 
 
+def pattern_association(spark: SparkSession, folder: str) -> DataFrame:
+    return trends.pattern_association(stored_frame(spark, folder))
+
+
 def knn_orders(spark: SparkSession, folder: str) -> DataFrame:
     """Nearest records of all groups, for every group of the orders in the query set."""
     queries = vectors(order_roles(spark, folder)).filter(f"{m.ORDER} % {QUERY_SET} = 0")
     return similar.neighbour_rows(similar.nearest_orders(queries, stored_frame(spark, folder)), KEYS)
 
 
+def knn_lsh(spark: SparkSession, folder: str) -> DataFrame:
+    """Like ``knn_orders``, by hashed buckets: some of the nearest may be missing."""
+    queries = vectors(order_roles(spark, folder)).filter(f"{m.ORDER} % {QUERY_SET} = 0")
+    return similar.neighbour_rows(approximate.nearest_hashed(queries, stored_frame(spark, folder)), KEYS)
+
+
 def knn_blocked(spark: SparkSession, folder: str) -> DataFrame:
     """Nearest records of the order's own group, for every order and group."""
     queries = vectors(order_roles(spark, folder))
@@ -341,6 +360,7 @@ ENVELOPE_SQL = [
     ("error", "SELECT missing_column FROM SUS_ORDER_JRNL"),
     ("no query", ""),
     ("command", "DROP VIEW SUS_ORDER_JRNL"),
+    ("unsafe function", "SELECT java_method('java.lang.System', 'getProperty', 'user.home') AS home"),
     ("no context", "SELECT 1 AS one"),
 ]
 
@@ -407,13 +427,16 @@ QUERIES: dict[str, Query] = {
         top_comments,
         page_offset,
         page_keyset,
+        page_late,
         parse_answers,
         extract_sql,
         trend_features,
         trend_shape,
         pattern_comments,
+        pattern_association,
         knn_orders,
         knn_blocked,
+        knn_lsh,
         predict_comment,
         prediction_batch,
         predict_accuracy,

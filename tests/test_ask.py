@@ -8,6 +8,11 @@ from orderlens.plans import ask
 @pytest.fixture(scope="module", autouse=True)
 def view(spark):
     ask.publish(spark.createDataFrame([(1, "a", 9), (2, "b", 8)], "id int, name string, Sold_To_Id int"), "asked")
+    kinds = "id int, places struct<city:string,sold_to_name:string>, list array<struct<Sold_To:int,n:int>>, by map<string,struct<SOLD_TO_X:int,n:int>>"
+    ask.publish(spark.createDataFrame([(1, ("c", "s"), [(1, 2)], {"k": (3, 4)}), (2, None, None, None)], kinds), "nested")
+    spark.createDataFrame([(1,)], "id int").createOrReplaceTempView("hidden")
+    spark.sql("DECLARE OR REPLACE VARIABLE asked_variable INT DEFAULT 7")
+    spark.udf.register("own_function", lambda x: x + 1, "int")
 
 
 def test_rows(spark):
@@ -58,6 +63,46 @@ def test_nothing_found(spark):
         "SELECT id FROM asked), r AS (SELECT 1",
         "SELECT * FROM parquet.`/root/testdata/sf0.001/region.parquet`",
         "TABLE parquet.`/root/testdata/sf0.001/region.parquet`",
+        "SELECT java_method('java.lang.System', 'getProperty', 'user.home')",
+        "SELECT reflect('java.lang.Runtime', 'getRuntime') FROM asked",
+        "SELECT try_reflect('java.lang.System', 'getProperty', 'user.home')",
+        "SELECT upper(reflect('java.lang.System', 'getProperty', 'user.home')) FROM asked",
+        "SELECT id FROM asked WHERE name = (SELECT java_method('java.lang.System', 'getProperty', 'user.home'))",
+        "SELECT id FROM asked WHERE EXISTS (SELECT reflect('java.lang.System', 'getProperty', 'x') AS y FROM asked)",
+        "WITH x AS (SELECT reflect('java.lang.System', 'getProperty', 'user.home') AS y) SELECT * FROM x",
+        "SELECT sum(id) OVER w FROM asked WINDOW w AS (ORDER BY reflect('java.lang.System', 'getProperty', 'x'))",
+        "SELECT id FROM asked ORDER BY reflect('java.lang.System', 'getProperty', 'user.home')",
+        "SELECT transform(array(1), x -> reflect('java.lang.System', 'getProperty', 'user.home'))",
+        "SELECT TRANSFORM (id) USING 'cat' AS (x) FROM asked",
+        "SELECT current_user()",
+        "SELECT current_database(), current_catalog()",
+        "SELECT input_file_name() FROM asked",
+        "SELECT version()",
+        "SELECT asked_variable",
+        "SELECT system.session.asked_variable + 1 AS x",
+        "SELECT id FROM IDENTIFIER('as' || 'ked')",
+        "SELECT IDENTIFIER('i' || 'd') FROM asked",
+        "SELECT IDENTIFIER('reflect')('java.lang.System', 'getProperty', 'user.home')",
+        "SELECT * FROM sql_keywords()",
+        "SELECT * FROM python_worker_logs()",
+        "SELECT * FROM read_files('/root/testdata/sf0.001/region.parquet')",
+        "SELECT * FROM hidden",
+        "SELECT * FROM default.asked",
+        "WITH x AS (SELECT 1 AS one) SELECT * FROM (WITH hidden AS (SELECT 1 AS id) SELECT * FROM hidden) h JOIN hidden ON true",
+        "SELECT own_function(id) FROM asked",
+        "SELECT x FROM asked LATERAL VIEW own_function(id) AS x",
+        "FROM asked |> EXTEND reflect('java.lang.System', 'getProperty', 'user.home') AS x",
+        "SELECT places.sold_to_name FROM nested",
+        "SELECT element_at(list, 1).Sold_To FROM nested",
+        "SELECT x.y FROM (SELECT named_struct('y', places.SOLD_TO_NAME) AS x FROM nested)",
+        "BEGIN SELECT 1; END",
+        "EXECUTE IMMEDIATE 'SELECT 1'",
+        "EXPLAIN SELECT id FROM asked",
+        "DESCRIBE asked",
+        "SHOW TABLES",
+        "CACHE TABLE x AS SELECT 1",
+        "INSERT OVERWRITE DIRECTORY '/tmp/never-written' USING parquet SELECT id FROM asked",
+        "FROM asked INSERT INTO asked SELECT 1, 'x'",
     ],
 )
 def test_failures(spark, sql):
@@ -67,6 +112,55 @@ def test_failures(spark, sql):
     assert spark.table("asked").count() == 2
 
 
+@pytest.mark.parametrize(
+    "sql, rows",
+    [
+        ("SELECT count(*), max(upper(name)), avg(id) FROM asked GROUP BY GROUPING SETS ((), (name)) HAVING count(*) > 0", 3),
+        ("SELECT id, row_number() OVER w FROM asked WINDOW w AS (PARTITION BY name ORDER BY id DESC)", 2),
+        ("SELECT a.id FROM asked a LEFT JOIN asked b USING (id) WHERE a.id IN (SELECT id FROM asked) AND EXISTS (SELECT 1 FROM asked)", 2),
+        ("SELECT id FROM asked UNION SELECT 5 EXCEPT SELECT 1 INTERSECT SELECT 2", 3),
+        ("SELECT b, t.a FROM (VALUES (1, 'x'), (2, 'y')) AS t(a, b) JOIN asked TABLESAMPLE (100 PERCENT) ON id = a", 2),
+        ("SELECT x FROM asked LATERAL VIEW explode(sequence(1, id)) AS x", 3),
+        ("SELECT * FROM range(5) ORDER BY id LIMIT 3 OFFSET 1", 3),
+        ("SELECT * FROM asked PIVOT (sum(id) FOR name IN ('a', 'b'))", 1),
+        ("SELECT transform(array(id), x -> x + 1)[0], CASE WHEN id > 1 THEN date_add(DATE'2020-01-01', id) END FROM asked", 2),
+        ("SELECT DISTINCT id::string, regexp_replace(name, 'a', 'b') AS n FROM asked WHERE name LIKE 'a%' OR id BETWEEN 1 AND 9", 2),
+        ("SELECT t.id FROM asked t, LATERAL (SELECT max(id) AS most FROM asked u WHERE u.id <= t.id) WHERE most > 0", 2),
+        ("SELECT /*+ BROADCAST(b) */ a.* EXCEPT (name), from_json('{\"k\": 1}', 'k INT').k FROM asked a JOIN asked b ON a.id = b.id", 2),
+        ("SELECT typeof(NULL), NULL AS nothing, INTERVAL 1 MONTH AS later FROM asked", 2),
+        ("FROM asked |> WHERE id > 1 |> SELECT id", 1),
+        ("SELECT places.city, list[0].n, by['k'].n, to_json(places) FROM nested", 2),
+    ],
+)
+def test_what_a_select_may_hold(spark, sql, rows):
+    found = ask.run_query(spark, sql)
+    assert (found.success, found.row_count) == (True, rows)
+    assert found.results.count() == rows
+
+
+def test_denied_fields_are_in_no_column(spark):
+    found = ask.run_query(spark, "SELECT *, to_json(struct(*)) AS whole FROM nested ORDER BY id").results.collect()
+    assert found[0].whole == '{"id":1,"places":{"city":"c"},"list":[{"n":2}],"by":{"k":{"n":4}}}'
+    assert (found[0].places.asDict(), found[0].list[0].asDict(), found[0].by["k"].asDict()) == ({"city": "c"}, {"n": 2}, {"n": 4})
+    assert (found[1].places, found[1].list, found[1].by) == (None, None, None)
+    made = ask.run_query(spark, "SELECT id, named_struct('sold_to', 1, 'n', id) AS x FROM nested ORDER BY id DESC").results.collect()
+    assert [r.x.asDict() for r in made] == [{"n": 2}, {"n": 1}]
+
+
+def test_functions_may_be_allowed(spark):
+    found = ask.run_query(spark, "SELECT own_function(id) AS x FROM asked ORDER BY x", functions=["Own_Function"])
+    assert [r.x for r in found.results.collect()] == [2, 3]
+
+
+def test_a_query_runs_once(spark):
+    """A function that gives another value every time: the stored rows are those that were counted."""
+    found = ask.run_query(spark, "SELECT id, rand() AS x FROM range(1000) WHERE rand() < 0.5 ORDER BY x DESC")
+    rows = found.results.collect()
+    assert len(rows) == found.row_count == found.results.count()
+    assert rows == found.results.collect()
+    assert [r.x for r in rows] == sorted((r.x for r in rows), reverse=True)
+
+
 def test_no_query_and_no_context(spark):
     assert ask.run_query(spark, "").message == ask.NO_QUERY
     assert ask.run_query(spark, None).message == ask.NO_QUERY
@@ -98,6 +192,6 @@ def test_denied_columns_are_not_in_the_views(spark):
     assert found.results.columns == ["name"]
 
 
-def test_files_can_be_read_again_afterwards(spark):
+def test_files_can_be_read_by_others(spark):
     ask.run_query(spark, "SELECT 1 AS one")
     assert spark.sql("SELECT count(*) FROM parquet.`/root/testdata/sf0.001/region.parquet`").first()[0] == 5
