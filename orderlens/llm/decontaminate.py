@@ -1,13 +1,18 @@
 """Benchmark decontamination by spaced seeds, with DataFrame functions only.
 
-Texts become lower-case words of letters and digits. A mask such as
-``1101100111`` lies over consecutive words and ignores those at its zeros; the
-hash of the others is a seed. Seeds of all masks at all places of documents
-and benchmark items are joined, so a passage is found although words in it
-were replaced. Around every hit the two texts are laid side by side: the
-document is contaminated if a window of 20 words that covers the hit (fewer if
-the item or the document is shorter) agrees in at least 80 % of its places. The
-masks find all such windows of 10 words and more; shorter items must be equal.
+Texts become lower-case words of letters and digits. A document holds a leak of
+an item if a window of 20 words of both, or of as many as the shorter one has
+but 8 at least, agrees in at least 80 % of its places. This is one rule for all
+sizes, and looks at no other item or document.
+
+A mask such as ``1101100111`` lies over consecutive words and ignores those at
+its zeros; the hash of the others is a seed. Seeds of all masks at all places
+of documents and benchmark items are joined, so a passage is found although
+words in it were replaced. Around every hit the two texts are laid side by side
+and the windows that cover the hit are compared. The seven masks of ten words
+find all windows of 10 words and more; where the document or the item has 8 or 9
+words, three masks of eight do. Those are met only in such pairs, so that five
+common words join no long texts.
 
 Benchmark seeds are broadcast when they are counted and few; otherwise both
 sides are shuffled by seed and hits are verified after a join by text.
@@ -16,7 +21,6 @@ sides are shuffled by seed and hits are verified after a join by text.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,12 +30,14 @@ from orderlens.session import store
 
 # Whichever fifth of the 10 to 20 words of a window is replaced, one of these has none of them at its ones at some place.
 MASKS = ("1101000011", "0010011101", "0110101010", "1001110100", "1011101000", "0100100111", "1111010000")
+# One of these has none of 8 words at its ones, whichever word is replaced.
+SHORT_MASKS = ("00011111", "11100011", "11111100")
 # Items with fewer words are too short to tell a leak from chance.
 MIN_WORDS = 8
 WINDOW = 20
 MIN_PERCENT = 80
-# At most so many benchmark words (with as many seeds per mask) are broadcast.
-BROADCAST_WORDS = 200_000
+# At most so many benchmark words are broadcast, as ten seeds each of 48 bytes.
+BROADCAST_WORDS = 50_000
 
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
@@ -44,19 +50,26 @@ def _hashed(text: Column) -> Column:
     return F.transform(words(text), lambda w: F.xxhash64(w))
 
 
-def _seeds(rows: DataFrame, array: str, masks: Sequence[str]) -> DataFrame:
-    """The seed of every mask at every place: the rows' columns, ``at`` (from 0) and ``seed``."""
-    least = min(map(len, masks))
+def _seeds(rows: DataFrame, array: str, short: Column) -> DataFrame:
+    """The seed of every mask at every place: the rows' columns, ``at`` (from 0), ``span`` and ``seed``.
+
+    The short masks are laid where ``short`` holds.
+    """
+    least = min(map(len, SHORT_MASKS))
     # No filter on the size: it would be moved below and split every text once more.
     places = F.when(F.size(array) >= least, F.sequence(F.lit(0), F.size(array) - least))
     placed = rows.select("*", F.explode(places).alias("at"))
 
     def seed(mask: str) -> Column:
         picked = [F.get(F.col(array), F.col("at") + n) for n, c in enumerate(mask) if c == "1"]
-        fits = F.col("at") + len(mask) <= F.size(array)
-        return F.when(fits, F.xxhash64(F.lit(mask), *picked))
+        return F.struct(F.lit(len(mask)).alias("span"), F.xxhash64(F.lit(mask), *picked).alias("seed"))
+
+    def seeds(masks: Sequence[str], where: Column) -> Column:
+        return F.when(where, F.array(*map(seed, masks))).otherwise(F.array())
 
-    return placed.select("*", F.explode(F.array(*map(seed, masks))).alias("seed")).filter("seed is not null")
+    fits = F.col("at") + len(MASKS[0]) <= F.size(array)
+    each = F.concat(seeds(MASKS, fits), seeds(SHORT_MASKS, short))
+    return placed.select("*", F.inline(each))
 
 
 def _agrees(doc: Column, size: Column, item: Column, doc_at: Column, item_at: Column, window: int, percent: int) -> Column:
@@ -82,7 +95,6 @@ def _agrees(doc: Column, size: Column, item: Column, doc_at: Column, item_at: Co
 def leaks(
     docs: DataFrame,
     benchmark: DataFrame,
-    masks: Sequence[str] = MASKS,
     window: int = WINDOW,
     percent: int = MIN_PERCENT,
     broadcast_words: int = BROADCAST_WORDS,
@@ -90,32 +102,32 @@ def leaks(
     """(doc_id, key_a, key_b, item_id): the items found in each contaminated document, each once.
 
     (key_a, key_b) names the document's row. Null and empty texts, on either
-    side, match nothing, and items under 8 words are passed over. Repeated
-    documents count once; repeated items are all reported. Null ids are kept
-    as they are. Empty tables give an empty result; other columns are ignored.
+    side, match nothing, and items and documents under 8 words are passed over.
+    Repeated documents count once; repeated items are all reported. Null ids
+    are kept as they are. Empty tables give an empty result; other columns are
+    ignored. Texts may have any length. ``percent`` under 80 may miss windows.
     """
+    long = len(MASKS[0])
     items = store(
         benchmark.select("item_id", _hashed(F.col("text")).alias("item")).filter(F.size("item") >= MIN_WORDS), "items"
     )
-    # Items shorter than a mask are sought as they stand.
-    longest = max(map(len, masks))
-    short = items.filter(F.size("item") < longest).select(F.size("item").alias("n")).distinct().collect()
-    masks = [*masks, *("1" * row["n"] for row in short)]
     total = items.agg(F.sum(F.size("item"))).first()[0] or 0
+    # Without short items, only short documents need the short masks.
+    none_short = items.filter(F.size("item") < long).isEmpty()
     hashed = docs.select("doc_id", *text_key("doc_id", "text"), _hashed(F.col("text")).alias("doc"))
-    places = _seeds(hashed, "doc", masks).withColumnRenamed("at", "doc_at")
+    places = _seeds(hashed, "doc", (F.size("doc") < long) if none_short else F.lit(True))
+    places = places.withColumnsRenamed({"at": "doc_at", "span": "doc_span"}).withColumn("doc_short", F.size("doc") < long)
     numbered = store(items.distinct().withColumn("item_key", F.monotonically_increasing_id()), "items")
-    # A seed's hash covers its mask, so equal seeds have equal spans.
-    sought = reduce(
-        DataFrame.unionByName,
-        [_seeds(numbered, "item", [mask]).withColumn("span", F.lit(len(mask))) for mask in masks],
-    ).withColumnRenamed("at", "item_at")
+    sought = _seeds(numbered, "item", F.lit(True)).withColumnRenamed("at", "item_at")
+    sought = sought.select("seed", "item_key", "item_at", "span", (F.size("item") < long).alias("item_short"))
+    # A seed's hash covers its mask, so equal seeds have equal spans; short masks are for short texts.
+    met = [places["seed"] == sought["seed"], (F.col("doc_span") == long) | F.col("doc_short") | F.col("item_short")]
     row = ["doc_id", "key_a", "key_b", "item_key"]
     if total <= broadcast_words:
         # Only the words around a hit go on with it.
         start = F.greatest(F.lit(0), F.col("doc_at") + F.col("span") - window)
         around = F.slice("doc", start + 1, F.col("doc_at") + window - start).alias("doc")
-        hits = places.join(F.broadcast(sought.select("seed", "item_key", "item_at", "span")), "seed").select(
+        hits = places.join(F.broadcast(sought), met).select(
             *row, (F.col("doc_at") - F.col("item_at")).alias("shift"), "item_at", "span", "doc_at", around,
             (F.col("doc_at") - start).alias("doc_place"), F.size("doc").alias("n_words"),
         )
@@ -124,7 +136,7 @@ def leaks(
             F.first("doc").alias("doc"), F.first("doc_place").alias("doc_place"), F.first("n_words").alias("n_words")
         )
     else:
-        hits = places.drop("doc").join(sought.select("seed", "item_key", "item_at", "span"), "seed")
+        hits = places.drop("doc").join(sought, met)
         slim = hits.select(*row[1:], (F.col("doc_at") - F.col("item_at")).alias("shift"), "item_at", "span").distinct()
         whole = hashed.dropDuplicates(["key_a", "key_b"])
         one = slim.join(whole, ["key_a", "key_b"]).withColumns(

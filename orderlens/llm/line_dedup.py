@@ -1,11 +1,15 @@
 """Line dedup by content-defined chunks of lines, with DataFrame functions only.
 
 A text's lines are hashed, and a rolling hash over each line and the one
-before decides whether a chunk ends there. Boundaries depend on nearby lines
-only, so a passage of lines is cut alike wherever it stands. A chunk with at
-least two lines that have a word is removed wherever it repeats, except at its
-first place (smallest doc_id, then place in the text). Repeated chunks are
-found by two 64-bit hashes and removed if their bytes equal those of the first.
+before marks some of them; lines without a word do not count. A chunk ends
+after a marked line that follows an unmarked one, unless that leaves a single
+line before the first or after the last such end. So boundaries depend on
+nearby lines only, a passage of lines is cut alike wherever it stands, and
+every chunk has two worded lines or more if the text has. A chunk is removed
+wherever it repeats, except at its first place (smallest doc_id, then place in
+the text): of an exact copy with two worded lines nothing stays. Repeated
+chunks are found by two 64-bit hashes and removed if their bytes equal those of
+the first.
 
 With ``whole``, pairs take the place of chunks: a line with a word and the next
 such line, with the blank ones between. Every passage of two or more worded
@@ -22,8 +26,9 @@ from pyspark.sql import functions as F
 from orderlens.llm.common import text_key
 from orderlens.session import store
 
-# A chunk ends after a line whose rolling hash, in hex, starts with one of these: 6 of 16, or every 2.7 lines.
-BOUNDARY = "012345"
+# A line is marked if its rolling hash, in hex, starts with one of these: 8 of 16, so that a chunk ends every 4 lines.
+BOUNDARY = "01234567"
+# Worded lines of a chunk, at least.
 MIN_LINES = 2
 
 KEYS = ["key_a", "key_b"]
@@ -32,22 +37,27 @@ HAS_WORD = r"[^\x20\x09-\x0D]"
 
 def chunks(text: Column) -> Column:
     """The text's chunks, as an array of arrays of lines."""
-    lines = F.split(text, "\n", -1)
 
-    def cut(lines: Column, hashes: Column) -> Column:
-        last = F.size(lines) - 1
+    def marked(hashes: Column) -> Column:
+        def mark(h: Column, at: Column) -> Column:
+            rolling = F.md5(F.concat(F.coalesce(F.get(hashes, at - 1), F.lit("")), h))
+            return F.substring(rolling, 1, 1).isin(*BOUNDARY)
 
-        def ends(at: Column) -> Column:
-            rolling = F.md5(F.concat(F.coalesce(F.get(hashes, at - 1), F.lit("")), F.get(hashes, at)))
-            return (at == last) | F.substring(rolling, 1, 1).isin(*BOUNDARY)
+        return F.transform(hashes, mark)
 
-        stops = F.filter(F.sequence(F.lit(0), last), ends)
+    def cut(lines: Column, at: Column, marks: Column) -> Column:
+        last = F.size(at) - 1
+        inner = F.sequence(F.lit(1), F.greatest(last - MIN_LINES, F.lit(1)))
+        ends = F.filter(inner, lambda n: (n <= last - MIN_LINES) & F.get(marks, n) & ~F.get(marks, n - 1))
+        stops = F.concat(F.transform(ends, lambda n: F.get(at, n)), F.array(F.size(lines) - 1))
         starts = F.concat(F.array(F.lit(0)), F.transform(F.slice(stops, 1, F.size(stops) - 1), lambda s: s + 1))
         return F.transform(F.arrays_zip(starts.alias("a"), stops.alias("b")), lambda x: F.slice(lines, x["a"] + 1, x["b"] - x["a"] + 1))
 
-    # One-element arrays bind lines and hashes once.
-    bound = F.transform(F.array(lines), lambda ls: F.struct(ls.alias("l"), F.transform(ls, lambda x: F.md5(x)).alias("h")))
-    return F.get(F.transform(bound, lambda s: cut(s["l"], s["h"])), 0)
+    # One-element arrays bind lines, places, hashes and marks once.
+    bound = F.transform(F.array(F.split(text, "\n", -1)), lambda ls: F.struct(ls.alias("l"), _worded_places(ls).alias("at")))
+    hashed = F.transform(bound, lambda s: F.struct(s["l"].alias("l"), s["at"].alias("at"), F.transform(s["at"], lambda n: F.md5(F.get(s["l"], n))).alias("h")))
+    marks = F.transform(hashed, lambda s: F.struct(s["l"].alias("l"), s["at"].alias("at"), marked(s["h"]).alias("m")))
+    return F.get(F.transform(marks, lambda s: cut(s["l"], s["at"], s["m"])), 0)
 
 
 def _worded_places(lines: Column) -> Column:
@@ -98,7 +108,13 @@ def _marks(docs: DataFrame, parts: Callable[[Column], Column]) -> DataFrame:
 def _repeated(marked: DataFrame, parts: Callable[[Column], Column]) -> DataFrame:
     """(key_a, key_b, places): the chunks that have the same bytes as the first of their hash."""
     own = marked.filter("marks is not null").select(*KEYS, "marks", parts(F.col("row.text")).alias("chunks"))
-    one = own.select(*KEYS, "chunks", F.inline("marks")).withColumn("chunk", F.array_join(F.get("chunks", F.col("place")), "\n"))
+
+    def with_chunk(mark: Column) -> Column:
+        chunk = F.array_join(F.get("chunks", mark["place"]), "\n")
+        return F.struct(*(mark[c].alias(c) for c in ("place", "h", "g", "first")), chunk.alias("chunk"))
+
+    # Each mark takes its own chunk along, and not the whole text.
+    one = own.select(*KEYS, F.inline(F.transform("marks", with_chunk)))
     first = one.filter("first").select("h", "g", F.col("chunk").alias("first_chunk")).dropDuplicates(["h", "g"])
     later = one.filter("not first").select("h", "g", *KEYS, "place", "chunk").join(first, ["h", "g"])
     return later.filter("chunk = first_chunk").groupBy(*KEYS).agg(F.collect_set("place").alias("places"))

@@ -195,11 +195,15 @@ WITH d AS (
   SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents
 ), l AS (
   SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS place FROM d
+), w AS (
+  SELECT *, row_number() OVER o AS turn, count(*) OVER (PARTITION BY doc_id) AS n_worded,
+    substr(md5(concat(lag(md5(line)) OVER o, md5(line))), 1, 1) IN ('0', '1', '2', '3', '4', '5', '6', '7') AS mark
+  FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') WINDOW o AS (PARTITION BY doc_id ORDER BY place)
 ), h AS (
-  SELECT *, substr(md5(concat(lag(md5(line)) OVER o, md5(line))), 1, 1) IN ('0', '1', '2', '3', '4', '5') AS stop
-  FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY place)
+  SELECT doc_id, place, mark AND NOT lag(mark) OVER (PARTITION BY doc_id ORDER BY place) AND turn <= n_worded - 2 AS stop FROM w
 ), n AS (
-  SELECT *, count(*) FILTER (stop) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS chunk FROM h
+  SELECT l.doc_id, line, l.place, count(*) FILTER (stop) OVER (PARTITION BY l.doc_id ORDER BY l.place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS chunk
+  FROM l LEFT JOIN h ON h.doc_id = l.doc_id AND h.place = l.place
 ), c AS (
   SELECT doc_id, chunk, string_agg(line, chr(10) ORDER BY place) AS body, count(*) AS n, min(place) AS place,
     count(*) FILTER (regexp_matches(line, '[^\x20\x09-\x0D]')) >= 2 AS fit
@@ -216,74 +220,29 @@ FROM d LEFT JOIN k ON k.doc_id = d.doc_id
 """,
 }
 
-_MASKS = ("1110110111", "1101101111", "1111011011")
-_SEEDS = " UNION ALL ".join(
-    f"SELECT id, pos, {len(m)} AS span, concat_ws(' ', '{m}', {', '.join(f't[pos + {n}]' for n, c in enumerate(m) if c == '1')}) AS seed "
-    f"FROM {{rows}}, range(1, len(t) - {len(m)} + 2) AS r(pos)"
-    for m in _MASKS
-)
 _TOKENS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
+# No seeds: equal words give the shifts at which two texts agree, and windows are counted from every equal word on.
 ORACLE["op6_decontaminate"] = f"""
 WITH d AS (
-  SELECT doc_id AS id, {_TOKENS} AS t FROM documents
+  SELECT row_number() OVER () AS k, doc_id, len(t) AS n, t FROM (SELECT doc_id, {_TOKENS} AS t FROM documents)
 ), i AS (
-  SELECT * FROM (SELECT item_id AS id, {_TOKENS} AS t FROM benchmark) WHERE len(t) >= 8
-), ds AS (
-  {_SEEDS.format(rows="d")}
-), bs AS (
-  {_SEEDS.format(rows="i")}
-), hits AS (
-  SELECT DISTINCT ds.id AS doc_id, bs.id AS item_id, ds.pos - bs.pos AS shift, bs.pos AS pos, bs.span FROM ds JOIN bs ON bs.seed = ds.seed AND bs.span = ds.span
-), sides AS (
-  SELECT hits.*, d.t AS dt, i.t AS it, least(20, len(d.t), len(i.t)) AS width
-  FROM hits JOIN d ON d.id = hits.doc_id JOIN i ON i.id = hits.item_id
-), places AS (
-  SELECT *, unnest(range(greatest(1, pos + span - width, 1 - shift), least(pos, len(it) - width + 1, len(dt) - width + 1 - shift) + 1)) AS start
-  FROM sides
-)
-SELECT DISTINCT doc_id, item_id FROM places
-WHERE len(list_filter(range(0, width), lambda n: dt[start + shift + n] = it[start + n])) * 100 >= width * 80
-"""
-
-ORACLE["op11_filter_audit"] = rf"""
-WITH d AS (
-  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORDS}') AS words
-  FROM documents
-), f AS (
-  SELECT doc_id, part, CASE WHEN len(words) < 100 THEN 1 ELSE 0 END
-    + CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 2 ELSE 0 END
-    + CASE WHEN 100 * len(regexp_extract_all(text, '[A-Z]')) > 10 * length(text) THEN 4 ELSE 0 END
-    + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
-    + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END AS fails
-  FROM d
-), g AS (
-  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
-  FROM labels GROUP BY doc_id
-), c AS (
-  SELECT part, fails, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
-  FROM f LEFT JOIN g ON g.doc_id = f.doc_id GROUP BY part, fails
-), t AS (
-  SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS t(name, bit)
-), o AS (
-  SELECT a.name || b.name || x.name || y.name || z.name AS filter_order, [a.bit, b.bit, x.bit, y.bit, z.bit] AS bits
-  FROM t a, t b, t x, t y, t z WHERE a.bit | b.bit | x.bit | y.bit | z.bit = 31
+  SELECT row_number() OVER () AS k, item_id, len(t) AS n, t FROM (SELECT item_id, {_TOKENS} AS t FROM benchmark)
+), dw AS (
+  SELECT k, unnest(t) AS word, generate_subscripts(t, 1) AS pos FROM d WHERE n >= 8
+), iw AS (
+  SELECT k, unnest(t) AS word, generate_subscripts(t, 1) AS pos FROM i WHERE n >= 8
 ), s AS (
-  SELECT filter_order, step, bits[step] AS own, list_sum(bits[1:step - 1]) AS earlier
-  FROM o, range(1, 6) AS r(step)
-), m AS (
-  SELECT part, filter_order, step, own, n, good, toxic, fails & own <> 0 AS failing, fails & coalesce(earlier, 0)::BIGINT <> 0 AS gone,
-    fails = own AS alone, fails
-  FROM c, s
+  SELECT dw.k AS d, iw.k AS i, dw.pos - iw.pos AS shift, list(iw.pos) AS same
+  FROM dw JOIN iw ON iw.word = dw.word GROUP BY ALL HAVING count(*) >= 7
+), w AS (
+  SELECT doc_id, item_id, same, least(20, d.n, i.n) AS width, greatest(1, 1 - shift) AS lowest, least(i.n, d.n - shift) AS last
+  FROM s JOIN d ON d.k = s.d JOIN i ON i.k = s.i
+), p AS (
+  SELECT doc_id, item_id, same, width, lowest, least(unnest(same), last - width + 1) AS start, len(same) AS n_same FROM w
 )
-SELECT part, filter_order, CAST(step AS INTEGER) AS step,
-  CAST(coalesce(sum(n) FILTER (NOT failing AND NOT gone), 0) AS BIGINT) AS kept,
-  CAST(coalesce(sum(n) FILTER (failing AND NOT gone), 0) AS BIGINT) AS removed,
-  CAST(coalesce(sum(n) FILTER (failing AND gone), 0) AS BIGINT) AS redundant,
-  CAST(coalesce(sum(n) FILTER (alone), 0) AS BIGINT) AS unique_fails,
-  CAST(coalesce(sum(good) FILTER (failing AND NOT gone), 0) AS BIGINT) AS good_lost,
-  CAST(coalesce(sum(toxic) FILTER (failing AND NOT gone), 0) AS BIGINT) AS toxic_lost,
-  CAST(coalesce(sum(n * 120 // greatest(1, bit_count(fails))) FILTER (failing), 0) AS BIGINT) AS shapley
-FROM m GROUP BY part, filter_order, step
+SELECT DISTINCT doc_id, item_id FROM p
+WHERE n_same * 100 >= width * 80 AND start >= lowest
+  AND len(list_filter(same, lambda x: x >= start AND x < start + width)) * 100 >= width * 80
 """
 
 _TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"

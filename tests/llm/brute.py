@@ -105,15 +105,19 @@ def good(text):
 
 def chunked(text):
     """Chunks (lists of lines) of a text."""
-    out, held, before = [], [], ""
-    for line in text.split("\n"):
-        own = hashlib.md5(line.encode()).hexdigest()
-        held.append(line)
-        if hashlib.md5((before + own).encode()).hexdigest()[0] in "012345":
-            out.append(held)
-            held = []
+    lines = text.split("\n")
+    worded = [n for n, line in enumerate(lines) if WORD.search(line)]
+    marks, before = [], ""
+    for n in worded:
+        own = hashlib.md5(lines[n].encode()).hexdigest()
+        marks.append(hashlib.md5((before + own).encode()).hexdigest()[0] in "01234567")
         before = own
-    return [*out, held] if held else out
+    out, start = [], 0
+    for k in range(1, len(worded) - 2):
+        if marks[k] and not marks[k - 1]:
+            out.append(lines[start : worded[k] + 1])
+            start = worded[k] + 1
+    return [*out, lines[start:]]
 
 
 def line_dedup(rows):
@@ -140,25 +144,26 @@ def leak_words(text):
     return [w for w in re.split(r"[\W_]+", (text or "").lower()) if w]
 
 
-def leaks(docs, items, masks, window=20, percent=80, least=8):
-    """(document number, item number) pairs, by comparing every seed."""
+def leaks(docs, items, window=20, percent=80, least=8):
+    """(document number, item number) pairs, without seeds: windows are compared at every shift with equal words."""
     sides = [leak_words(t) for t in items]
-    short = {len(s) for s in sides if least <= len(s) < max(map(len, masks))}
-    masks = [*masks, *("1" * n for n in short)]
-    seeds = defaultdict(set)
-    for k, w in enumerate(sides):
-        if len(w) >= least:
-            for mask in masks:
-                for q in range(len(w) - len(mask) + 1):
-                    seeds[mask, tuple(w[q + n] for n, c in enumerate(mask) if c == "1")].add((k, q))
+    places = defaultdict(list)
+    for k, words in enumerate(sides):
+        for q, word in enumerate(words if len(words) >= least else []):
+            places[word].append((k, q))
     found = set()
     for d, text in enumerate(docs):
-        w = leak_words(text)
-        for mask in masks:
-            for p in range(len(w) - len(mask) + 1):
-                for k, q in seeds.get((mask, tuple(w[p + n] for n, c in enumerate(mask) if c == "1")), ()):
-                    item, width = sides[k], min(window, len(sides[k]), len(w))
-                    for s in range(max(0, q + len(mask) - width, q - p), min(q, len(item) - width, len(w) - width + q - p) + 1):
-                        if 100 * sum(w[s + p - q + n] == item[s + n] for n in range(width)) >= percent * width:
-                            found.add((d, k))
+        words = leak_words(text)
+        same = defaultdict(list)
+        for p, word in enumerate(words if len(words) >= least else []):
+            for k, q in places.get(word, ()):
+                same[k, p - q].append(q)
+        for (k, shift), equal in same.items():
+            width = min(window, len(words), len(sides[k]))
+            if 100 * len(equal) < percent * width:
+                continue
+            first, last = max(0, -shift), min(len(sides[k]), len(words) - shift) - width
+            if any(100 * sum(q <= x < q + width for x in equal) >= percent * width for q in range(first, last + 1)):
+                found.add((d, k))
     return found
+

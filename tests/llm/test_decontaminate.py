@@ -28,13 +28,13 @@ def items(spark, rows=ITEMS):
 
 
 def check(spark, docs, rows, bench, bench_rows, **options):
-    want = brute.leaks([t for _, t in rows], [t for _, t in bench_rows], decontaminate.MASKS)
+    want = brute.leaks([t for _, t in rows], [t for _, t in bench_rows])
     want = {(rows[d][0], bench_rows[k][0]) for d, k in want}
     got = decontaminate.leaks(docs, bench, **options).select("doc_id", "item_id").collect()
     assert {tuple(r) for r in got} == want
     left = decontaminate.drop_leaks(docs, bench, **options)
     assert left.columns == docs.columns
-    gone = {rows[d] for d, _ in brute.leaks([t for _, t in rows], [t for _, t in bench_rows], decontaminate.MASKS)}
+    gone = {rows[d] for d, _ in brute.leaks([t for _, t in rows], [t for _, t in bench_rows])}
     assert sorted(((r.doc_id, r.text) for r in left.collect()), key=repr) == sorted((r for r in rows if r not in gone), key=repr)
     return want
 
@@ -66,7 +66,7 @@ def test_odd_rows_and_replaced_words(spark, limit):
     rows = texts()
     docs = odd.documents(spark, [(d, t, "en", "a", 1) for d, t in rows])
     found = check(spark, docs, rows, items(spark), ITEMS, broadcast_words=limit)
-    assert {(200, 5), (202, None), (6, 1), (7, 1)} <= found and not any(d == 201 for d, _ in found)
+    assert {(200, 5), (201, 5), (202, None), (6, 1), (7, 1)} <= found
     assert 10 < sum(100 <= (d or 0) < 140 for d, _ in found) < 40
 
 
@@ -94,7 +94,7 @@ def test_masks_hit_every_window_with_a_fifth_replaced():
             ), (width, replaced)
 
 
-def leaks_without_seeds(docs, items, window=20, percent=80, least=10):
+def leaks_without_seeds(docs, items, window=20, percent=80, least=8):
     """(document number, item number) pairs, by laying every window over every other."""
     found = set()
     for (d, text), (k, item) in itertools.product(enumerate(docs), enumerate(items)):
@@ -112,7 +112,7 @@ def leaks_without_seeds(docs, items, window=20, percent=80, least=10):
 @pytest.mark.parametrize("limit", [decontaminate.BROADCAST_WORDS, 0])
 def test_same_as_without_seeds(spark, limit):
     pick = random.Random(5)
-    bench = [" ".join(f"i{k}w{n}" for n in range(size)) for k, size in enumerate((10, 11, 12, 14, 15, 17, 19, 20, 26, 35))]
+    bench = [" ".join(f"i{k}w{n}" for n in range(size)) for k, size in enumerate((8, 9, 10, 11, 12, 14, 15, 17, 19, 20, 26, 35))]
     texts = []
     for k, item in enumerate(bench):
         for turn in range(24):
@@ -128,3 +128,44 @@ def test_same_as_without_seeds(spark, limit):
     want = leaks_without_seeds(texts, bench)
     assert {(r.doc_id, r.item_id) for r in found.collect()} == want
     assert 100 < len(want) < len(texts)
+
+
+def test_short_masks_hit_every_window_with_one_word_replaced():
+    for replaced in range(8):
+        assert any(mask[replaced] == "0" for mask in decontaminate.SHORT_MASKS)
+
+
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_WORDS, 0])
+def test_other_items_do_not_matter(spark, limit):
+    """Documents of 7 to 12 words, whole or with a word replaced, out of a long item and next to short ones."""
+    long = [f"p{n}" for n in range(30)]
+    rows = []
+    for size in range(7, 13):
+        for place in (None, *range(size)):
+            words = long[5 : 5 + size]
+            if place is not None:
+                words[place] = "other"
+            rows.append((len(rows), " ".join(words)))
+    docs = odd.documents(spark, [(d, t, "en", "a", 1) for d, t in rows])
+    alone = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items(spark, [(1, " ".join(long))]), broadcast_words=limit).collect()}
+    assert alone == {(d, 1) for d, t in rows if len(t.split()) >= 8 and 100 * sum(w != "other" for w in t.split()) >= 80 * len(t.split())}
+    more = [(1, " ".join(long)), (2, " ".join(f"x{n}" for n in range(8))), (3, "seven words are too few for it")]
+    both = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items(spark, more), broadcast_words=limit).collect()}
+    assert both == alone
+
+
+def test_a_common_phrase_is_shuffled_without_loss(spark):
+    """Half of the documents and of the items hold the same eight words; few pairs agree beyond them."""
+    pick = random.Random(9)
+    phrase = "this is what every one of them says"
+    bench = [(k, " ".join([f"i{k}w{n}" for n in range(9)] + ([phrase] if k % 2 else []) + [f"i{k}e{n}" for n in range(9)])) for k in range(40)]
+    docs = []
+    for d in range(400):
+        own = [f"d{d}w{n}" for n in range(pick.randrange(8, 20))]
+        kind = [phrase] if d % 2 else []
+        leak = bench[pick.randrange(40)][1].split()[: pick.randrange(10, 27)] if d % 10 == 0 else []
+        docs.append((d, " ".join([*own, *kind, *leak, *own[:3]])))
+    frame = odd.documents(spark, [(d, t, "en", "a", 1) for d, t in docs])
+    found = [{(r.doc_id, r.item_id) for r in decontaminate.leaks(frame, items(spark, bench), broadcast_words=n).collect()} for n in (0, 50_000)]
+    want = {(docs[d][0], bench[k][0]) for d, k in brute.leaks([t for _, t in docs], [t for _, t in bench])}
+    assert found == [want, want] and 10 <= len(want) < 200
