@@ -30,17 +30,20 @@ def search(df: DataFrame, term: str, literal: bool = False) -> DataFrame:
     if not term:
         return df
     if not literal:
-        _check_pattern(df, term)
+        check_pattern(df, term)
 
     def hit(name: str, kind: Any) -> Column:
-        text = text_form(F.col(f"`{name}`"), kind)
-        found = F.lower(text).contains(term.lower()) if literal else text.rlike(f"(?iu){term}")
-        return F.coalesce(found, F.lit(False))
+        return F.coalesce(holds(text_form(F.col(f"`{name}`"), kind), term, literal), F.lit(False))
 
     return df.filter(reduce(or_, [hit(name, kind) for name, kind in kinds(df).items()]))
 
 
-def _check_pattern(df: DataFrame, term: str) -> None:
+def holds(text: Column, term: str, literal: bool) -> Column:
+    """Whether a text holds the term, ignoring case."""
+    return F.lower(text).contains(term.lower()) if literal else text.rlike(f"(?iu){term}")
+
+
+def check_pattern(df: DataFrame, term: str) -> None:
     try:
         df.sparkSession.range(1).select(F.lit("").rlike(f"(?iu){term}")).collect()
     except PySparkException as error:

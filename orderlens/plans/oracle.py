@@ -320,6 +320,7 @@ FROM (SELECT q.*, (SELECT '[' || string_agg({RECORD_JSON}, ',' ORDER BY c.pos) |
                      AND c.pos - coalesce(len(list_filter(o.places, lambda p: p < c.pos)), 0) <= {m.CONTEXT_ROWS}) AS base_orders
       FROM last_ten q LEFT JOIN own o USING (ORDERNUMBER)) q""",
     "search_any_column": f"WITH {BASE} SELECT * FROM base WHERE {BASE_MATCH}",
+    "search_indexed": f"WITH {BASE} SELECT * FROM base WHERE {BASE_MATCH}",
     "search_literal": f"SELECT * FROM part WHERE {PART_MATCH}",
     "search_page": f"""WITH {WHOLE}, found AS (SELECT * FROM whole WHERE {BASE_MATCH})
 SELECT *, (SELECT count(*) FROM found) AS row_count, (SELECT CAST(ceil(count(*) / 10) AS BIGINT) FROM found) AS page_count

@@ -14,6 +14,7 @@ from orderlens.functions.connections import connection_fields
 from orderlens.functions.values import kinds, to_number
 from orderlens.operators import approximate, base, context, frames, outline, similar, trends
 from orderlens.operators.pages import page_map
+from orderlens.operators.search_index import search_index
 from orderlens.plans import ask, predict
 from orderlens.session import fresh_path, store
 from orderlens.sources import files, roles as order_sources, texts
@@ -131,6 +132,11 @@ def search_literal(spark: SparkSession, folder: str) -> DataFrame:
     return frames.search(table(spark, folder, "part"), PART_TERM, literal=True)
 
 
+def search_indexed(spark: SparkSession, folder: str) -> DataFrame:
+    """The same rows as ``search_any_column``, found through an index."""
+    return search_index(base_orders(spark, folder)).search(BASE_TERM)
+
+
 def search_page(spark: SparkSession, folder: str) -> DataFrame:
     df = whole_frame(spark, folder)
     return frames.search_page(df, BASE_TERM, PAGE_NUMBER, base.frame_order(df.columns))
@@ -408,6 +414,7 @@ QUERIES: dict[str, Query] = {
         context_json,
         search_any_column,
         search_literal,
+        search_indexed,
         search_page,
         order_lookup,
         clean_trends,
