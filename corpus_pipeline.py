@@ -8,12 +8,14 @@ again, so no stage depends on another's tasks.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderlens.llm import decontaminate, line_dedup, mixing, quality, simhash
 from orderlens.llm.common import table
-from orderlens.session import store
+from orderlens.session import discard, store_only
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,12 +59,19 @@ def whole_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def run(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """All stages over the table documents, each from the files of the one before; ``whole`` is for line dedup."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the table documents, each from the files of the one before; ``whole`` is for line dedup.
+
+    What a stage stores on its way is removed when its result is written, and
+    that when the next stage's is.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         if whole and stage is line_dedup_stage:
             stage = whole_line_dedup
-        docs = store(stage(spark, docs, sf_dir), name)
+        docs, path = store_only(spark, name, partial(stage, spark, docs, sf_dir))
+        if before is not None:
+            discard(spark, before)
+        before = path
     return docs
 
 
