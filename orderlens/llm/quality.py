@@ -156,7 +156,8 @@ def measure_and_judge(docs: DataFrame, rules: Sequence[Rule] = MORE_RULES) -> Da
     ``rejected_by`` is the first rule that rejected (null for base failures).
     Null and empty texts have no words and fail the base rule. Repeated rows
     are judged alike; a null doc_id is kept as it is; an empty table gives an
-    empty result. Other columns are ignored.
+    empty result. Other columns are ignored. Texts may have any length; one at a
+    time is held, with its words.
     """
     cascade = ordered(docs, rules)
 

@@ -343,7 +343,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bit
     without words have fingerprint 0 and link as any other. Repeated rows are
     kept and share their class. A null doc_id is kept and never names a class,
     unless all of the class are null. An empty table gives an empty result;
-    other columns of ``docs``, whatever their names, are ignored.
+    other columns of ``docs``, whatever their names, are ignored. Texts may have
+    any length; one at a time is held, with its shingles' hashes.
     """
     prints = store(fingerprints(docs, shingle_words), "fingerprints")
     return prints.join(_classes(prints, max_bits), "fp").select(

@@ -42,6 +42,8 @@ HARD = 2
 SEED = 3
 # Words whose inputs a task remembers, and windows it scores at a time.
 REMEMBERED, AT_A_TIME = 200_000, 2048
+# What a row takes besides its text, in bytes.
+ROW_BYTES = 64
 
 FOLDS = 5
 WAYS = ("ahead", "back")
@@ -392,7 +394,8 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
         scorer, held, size = Scorer(weights.value), [], 0
         for row in rows:
             held.append(row)
-            size += len(row["text"] or "")
+            # A row without text takes room, too.
+            size += ROW_BYTES + len(row["text"] or "")
             if size > SLICE_BYTES // 4:
                 yield from scored(scorer, held)
                 held, size = [], 0

@@ -180,7 +180,7 @@ def judge(pages: DataFrame, rules: Sequence[UrlRule] = RULES, labelled: DataFram
     URLs that no rule fits (allow if there are none). A null url, or one
     without ``://``, has an empty host and path and is judged by the trees on
     what features it has. Repeated rows are judged alike, an empty table gives
-    an empty result, and other columns are ignored.
+    an empty result, and other columns are ignored. URLs may have any length.
     """
 
     def parts(rows: DataFrame) -> DataFrame:

@@ -117,3 +117,128 @@ def test_deep_and_long_pages():
 @pytest.mark.parametrize("name", ["post has-sidebar", "content no-comments", "layout withSidebar", "download-adaptive headerless"])
 def test_names_that_say_what_a_part_has(name):
     assert html_text.main_text(f"<body><div class='{name}'><p>{P}</p></div></body>") == P
+
+
+TALK = "This part goes on about its subject for a while, with a comma here and there, as prose does."
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        "<section id='related-work'><h2>Related work</h2><p>{}</p></section>",
+        "<h2 id='legal-aspects'>Legal aspects</h2><p>{}</p>",
+        "<h2 id=comments>On comments</h2><p>{}</p>",
+        "<p class='share-price-table'>{}</p>",
+        "<p id='newsletter-history'>{}</p>",
+        "<div id='search-algorithms'><p>{}</p><p>{}</p></div>",
+        "<section class='social-policy popular-topics'><p>{}</p></section>",
+        "<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be so. {}</p>",
+        "<blockquote class='notice-period'>{}</blockquote>",
+    ],
+)
+@pytest.mark.parametrize("shell", ["<article>{}</article>", "<div id=content>{}</div>"])
+def test_topics_of_the_article_stay(part, shell):
+    body = part.replace("{}", TALK)
+    want = [" ".join(re.sub("<[^>]+>", "", x).split()) for x in re.split(r"</?(?:p|h2|section|div|blockquote)\b[^>]*>", body)]
+    page = f"<body><nav><a href=x>menu</a></nav>{shell.replace('{}', f'<p>{P}</p>{body}<p>Second. {P}</p>')}<footer>end</footer></body>"
+    assert html_text.main_text(page) == "\n\n".join([P, *(w for w in want if w), f"Second. {P}"])
+
+
+@pytest.mark.parametrize("name", ["popular-science-article", "sidebar-layout", "page nav-open", "search-results legal-notes"])
+def test_a_marked_part_around_the_article_stays(name):
+    page = f"<body><div class='{name}'><article><h1>Head</h1><p>{P}</p></article></div></body>"
+    assert html_text.main_text(page) == f"Head\n\n{P}"
+    if name.startswith("popular"):
+        assert html_text.main_text(f"<body><div class='{name}'><p>{P}</p><p>{P}</p></div></body>") == f"{P}\n\n{P}"
+
+
+@pytest.mark.parametrize(
+    "beside",
+    [
+        "<div class='related-posts'><a href=1>One more story to read, with a comma</a> <a href=2>And yet another one, of some length</a></div>",
+        "<div class=popular><p>{}</p></div>",
+        "<div class='share-buttons'><a href=1>Share this on some network, please</a></div>",
+        "<div class='site-notice'><p>{}</p></div>",
+        "<p class=advert>{}</p>",
+        "<td class='sidebar-left'><p>{}</p></td>",
+    ],
+)
+def test_parts_in_doubt_go_unless_they_read_like_prose(beside):
+    page = f"<body><div id=content><p>{P}</p>{beside.replace('{}', TALK)}<p>Second. {P}</p></div></body>"
+    assert html_text.main_text(page) == f"{P}\n\nSecond. {P}"
+
+
+@pytest.mark.parametrize(
+    "start, end",
+    [
+        ("<div>", "</div>"), ("<div>", ""), ("<div><p>", ""), ("<ul><li>", ""), ("<b>", "</i>"), ("<i>", "</b>"), ("<table><tr><td>", ""),
+        ("<p><b>", "</p>"), ("<a><div><b>", "</a>"), ("<section><p>x,", ""), ("<blockquote>words, ", "</blockquote>"), ("<dl><dt>a<dd>", ""),
+    ],
+)
+def test_deep_pages_take_linear_time(start, end):
+    import time
+
+    began = time.perf_counter()
+    text = html_text.main_text(start * 100_000 + f"<p>{P}</p>" + end * 100_000)
+    assert P in text
+    assert time.perf_counter() - began < 20
+
+
+def plain_tree(page):
+    """A second reader: a parser that is told of all end tags, no implied ones."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.out, self.skip = [""], 0
+
+        def handle_starttag(self, tag, attrs):
+            names = dict(attrs).get("class") or ""
+            if self.skip or tag in ("nav", "header", "footer", "aside", "script", "style", "form") or names in ("ad", "comments", "sidebar"):
+                self.skip += tag not in ("br", "img", "input")
+            elif tag in html_text.BLOCK:
+                self.out.append("")
+            elif tag == "br":
+                self.out[-1] += " "
+
+        def handle_endtag(self, tag):
+            if self.skip:
+                self.skip -= 1
+            elif tag in html_text.BLOCK:
+                self.out.append("")
+
+        def handle_data(self, data):
+            if not self.skip:
+                self.out[-1] += data
+
+    reader = Reader()
+    reader.feed(page)
+    return "\n\n".join(" ".join(x.split()) for x in reader.out if x.split())
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_random_pages_against_a_second_reader(seed):
+    import random
+
+    pick = random.Random(seed)
+    words = "some words of prose, with &amp; commas, and an <b>inline</b> <a href='#x'>link</a> or two &eacute;".split(" ")
+
+    def prose():
+        return " ".join(pick.choice(words[:8]) for _ in range(pick.randrange(20, 60))) + " " + " ".join(words[8:])
+
+    def part(depth):
+        kind = pick.randrange(9 if depth < 4 else 4)
+        if kind == 0:
+            return f"<h2 id='related-{pick.randrange(9)}'>Heading {pick.randrange(99)}</h2>"
+        if kind in (1, 2):
+            return f"<p>{prose()}</p>"
+        if kind == 3:
+            return pick.choice(["<div class='ad'>{}</div>", "<aside><p>{}</p></aside>", "<div class='sidebar'><p>{}</p></div>", "<script>{}</script>"]).format("buy, now, " * 9)
+        if kind == 4:
+            return "<ul>" + "".join(f"<li>{prose()}</li>" for _ in range(3)) + "</ul>"
+        return "<div>" + "".join(part(depth + 1) for _ in range(pick.randrange(1, 4))) + "</div>"
+
+    article = "".join(part(0) for _ in range(8)) + f"<p>{prose()}</p>"
+    page = f"<html><body><header><p>{prose()}</p></header><nav><ul><li><a href=1>menu</a></li></ul></nav><article>{article}</article><div class='comments'><p>{prose()}</p></div><footer>{prose()}</footer></body></html>"
+    assert html_text.main_text(page) == plain_tree(page)

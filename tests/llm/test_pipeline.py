@@ -69,6 +69,20 @@ def test_run_gives_the_last_stage(outputs, spark, folder):
     assert sorted(map(tuple, corpus_pipeline.run(spark, folder).collect())) == sorted(map(tuple, outputs[-1][1].collect()))
 
 
+def test_run_leaves_the_last_result_only(spark, folder):
+    """Within a scope, so that nothing of other tests is in the folder."""
+    import glob
+
+    from orderlens.session import fresh_path, scope
+
+    with scope(spark):
+        base = fresh_path(spark, "x").rpartition("/")[0]
+        found = corpus_pipeline.run(spark, folder)
+        assert [p.rpartition("/")[2].partition("-")[0] for p in glob.glob(f"{base}/*")] == ["source_mixing"]
+        assert found.count() > 0
+    assert glob.glob(f"{base}/*") == []
+
+
 @pytest.mark.parametrize("rows", [None, []])
 def test_stages_take_odd_and_no_rows(spark, folder, rows):
     for _, stage in corpus_pipeline.STAGES:

@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import os
 import random
+from collections import defaultdict
 
 import brute
+import numpy as np
 import odd
 import pytest
 
@@ -110,3 +113,56 @@ def test_crowded_groups_list_all_occurrences(spark):
         assert len(members) > 1 and len({texts[d].encode()[s : s + n] for d, s, n in members}) == 1
     everywhere = {s for members in groups.values() if len(members) == 12 for _, s, _ in members}
     assert groups and everywhere == set(range(8, 8 + 60 - 40 + 1))
+
+
+LARGER = "/root/testdata/sf0.1"
+
+
+def covered_by_repeated_windows(texts, least):
+    """Per text, which bytes a repeated window covers: hashes of all windows of all texts, sorted."""
+    base = 0x9E3779B97F4A7C15 | 1
+    longest = max(map(len, texts)) + 1
+    up, down = np.full(longest, base, np.uint64), np.full(longest, pow(base, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    hashes = []
+    for data in texts:
+        part = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(part * up[: len(part)], dtype=np.uint64)))
+        n = max(0, len(part) - least + 1)
+        hashes.append((sums[least:] - sums[:n]) * down[:n] if n else np.empty(0, np.uint64))
+    every, inverse, count = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+    again, at, out = count[inverse] > 1, 0, []
+    for data, own in zip(texts, hashes):
+        edges = np.zeros(len(data) + 1, np.int64)
+        starts = np.flatnonzero(again[at : at + len(own)])
+        np.add.at(edges, starts, 1)
+        np.add.at(edges, starts + least, -1)
+        out.append(np.cumsum(edges)[:-1] > 0)
+        at += len(own)
+    return out
+
+
+@pytest.mark.skipif(not os.path.isdir(LARGER), reason="needs the larger tables")
+def test_larger_table_and_passages_by_length(spark):
+    """All 400-byte windows of 10,000 documents; shared lines of over 50 words go from 400 bytes on, and shorter ones stay."""
+    rows = [(r.doc_id, r.text) for r in table(spark, LARGER, "documents").select("doc_id", "text").collect()]
+    texts = [(t or "").encode() for _, t in rows]
+    gone = covered_by_repeated_windows(texts, 400)
+    found = {r.doc_id: [tuple(x) for x in r.spans or []] for r in repeats.remove_repeats(table(spark, LARGER, "documents")).collect()}
+    for (d, _), own in zip(rows, gone):
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], own.astype(np.int8), [0]))))
+        assert found[d] == list(zip(edges[::2].tolist(), edges[1::2].tolist()))
+    places = defaultdict(list)
+    for n, data in enumerate(texts):
+        start = 0
+        for line in data.split(b"\n"):
+            if len(line.split()) > 50:
+                places[line].append((n, start))
+            start += len(line) + 1
+    shared = {line: at for line, at in places.items() if len({texts[n] for n, _ in at}) > 1}
+    long = [gone[n][a : a + len(line)].all() for line, at in shared.items() if len(line) >= 400 for n, a in at]
+    short = [gone[n][a : a + len(line)].any() for line, at in shared.items() if len(line) < 400 for n, a in at]
+    print(f"shared lines: {len(long)} places of 400 bytes or more, {np.mean(long):.3f} gone; {len(short)} shorter, {1 - np.mean(short):.3f} left")
+    assert len(long) > 100 and all(long)
+    assert len(short) > 50
