@@ -37,8 +37,9 @@ from orderlens.llm.common import map_rows, text_key
 from orderlens.session import store
 
 MIN_BYTES = 400
-# Different contexts that one task scans at a time; with up to 700 bytes each, some 4 MB.
-GROUP = 5_000
+# Different contexts that one task scans at a time; with up to 700 bytes each, some 40 MB. Regrouping by longer parts
+# multiplies contexts, so smaller groups cost more disk than they save time.
+GROUP = 60_000
 # Bytes whose anchors are chosen at a time; positions within fit 20 bits.
 CHUNK = 500_000
 

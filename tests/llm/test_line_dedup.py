@@ -146,3 +146,27 @@ def test_whole_takes_odd_rows_and_needs_no_python(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "NestedLoop" not in plan
     assert line_dedup.drop_repeated_lines(odd.documents(spark, []), whole=True).collect() == []
+
+
+def test_share_of_passages_that_chunks_remove(spark):
+    """Against lines judged without chunks: nothing else goes, long passages go for the most part, copies wholly."""
+    pick, rows, lengths = random.Random(3), [], {}
+    for length in (2, 5, 12, 20, 40):
+        for turn in range(30):
+            passage = [f"shared {length} {turn} {n}" for n in range(length)]
+            for _ in range(2):
+                d = len(rows)
+                before = [f"own {d} {n}" for n in range(pick.randrange(1, 6))]
+                rows.append((d, "\n".join([*before, *passage, *(f"end {d} {n}" for n in range(pick.randrange(1, 6)))])))
+            lengths[d] = length
+    copies = [(1000 + n, rows[n][1]) for n in range(0, len(rows), 7)]
+    found = line_dedup.dedup_lines(odd.documents(spark, [(d, t, "en", "a", 1) for d, t in rows + copies]))
+    got = {r.doc_id: r for r in found.select("row.doc_id", "kept", "n_removed").collect()}
+    removed = dict.fromkeys(lengths.values(), 0)
+    for (d, text), left in zip(rows, lines_left(rows)):
+        assert set(left) <= set(got[d].kept.split("\n"))
+        if d in lengths:
+            removed[lengths[d]] += got[d].n_removed
+    shares = {length: n / (30 * length) for length, n in removed.items()}
+    assert shares[12] > 0.3 and shares[20] > 0.55 and shares[40] > 0.75
+    assert all(got[d].kept == "" for d, _ in copies)
