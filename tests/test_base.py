@@ -1,10 +1,14 @@
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 from samples import FRAME_SCHEMA, final_plan, frame, roles, row, tuples
 
 from orderlens import model as m
 from orderlens.operators import base
+from orderlens.plans import registry
+from orderlens.sources import roles as sources
 
 TYP = [(1, "Release"), (2, "Comment"), (5, "Hold"), (6, "release")]
 GRP = [(1, "g1"), (2, "g2")]
@@ -158,3 +162,17 @@ def test_hot_journal_key_is_split(spark, settings, tmp_path):
     df = base.base_orders(hot)
     assert "SortMergeJoin(skew=true)" in final_plan(df)
     assert df.count() == n
+
+
+def test_history_alone_builds_no_journal(spark, folder):
+    """Queries of the history must not pay for the journal."""
+    again = f"{folder}/."
+    assert registry.page_keyset(spark, again).count() == registry.page_keyset(spark, folder).count()
+    assert (spark.sparkContext.applicationId, again) not in sources._built
+    assert sources.order_roles(spark, again).hist is sources.order_history(spark, again)[1]
+
+
+def test_lines_are_shuffled_once_for_the_detail(spark, folder):
+    plan = final_plan(sources.detail(spark, folder))
+    assert "hashpartitioning(l_orderkey" in plan
+    assert f"hashpartitioning(l_orderkey, {m.GROUP_ID}" not in re.sub(r"#\d+L?", "", plan)
