@@ -79,6 +79,29 @@ def test_cells_far_from_a_query_are_not_visited(spark):
     assert similar._elsewhere(bounded, boxes).count() <= 3 * 1600
 
 
+@pytest.mark.parametrize("cell", [10_000, 20])
+def test_equal_vectors_are_asked_for_once(spark, cell):
+    """Thirty orders a vector, one order with many records of each: work follows the vectors, and no neighbour is lost."""
+    rows = [row(100 * n + copy, f"c{copy % 4}", "g", [float((n * k) % 9) for k in range(12)]) for n in range(12) for copy in range(30)]
+    rows += [row(1, f"d{copy}", "g", [float((n * k) % 9) for k in range(12)]) for n in range(12) for copy in range(8)]
+    df = frame(spark, rows).cache()
+    queries = queries_of(spark, df).cache()
+    counted = spark.sparkContext.accumulator(0)
+    found = as_dict(similar.nearest_orders(queries, df, [m.GROUP], cell_rows=cell, compared=counted))
+    assert found == brute_force(rows, asked(queries), [m.GROUP], 5)
+    assert 0 < counted.value <= 12 * 12 * 6 * 5
+
+
+def test_visits_are_not_stored(spark, monkeypatch):
+    """A query may visit many cells, so what visits take must not be written as well as shuffled."""
+    labels = []
+    kept = similar.store
+    monkeypatch.setattr(similar, "store", lambda df, label: labels.append(label) or kept(df, label))
+    df = frame(spark, random_rows(200, range(40), seed=5))
+    similar.nearest_orders(queries_of(spark, df), df, cell_rows=20).count()
+    assert "neighbours" in labels and "visits" not in labels
+
+
 def test_few_and_no_neighbours(spark):
     rows = [row(1, "a", lags=[1.0] * 12), row(2, "b", lags=[2.0] * 12), row(3, None, lags=[1.0] * 12), row(4, "c", last=None)]
     df = frame(spark, rows)
