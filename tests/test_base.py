@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+import os
 import re
 
 from pyspark.sql import functions as F
 from samples import FRAME_SCHEMA, final_plan, frame, roles, row, tuples
 
 from orderlens import model as m
+from orderlens import session
 from orderlens.operators import base
 from orderlens.plans import registry
 from orderlens.sources import roles as sources
@@ -176,3 +178,19 @@ def test_lines_are_shuffled_once_for_the_detail(spark, folder):
     plan = final_plan(sources.detail(spark, folder))
     assert "hashpartitioning(l_orderkey" in plan
     assert f"hashpartitioning(l_orderkey, {m.GROUP_ID}" not in re.sub(r"#\d+L?", "", plan)
+
+
+def test_history_is_shuffled_once_for_the_journal(spark, settings):
+    """Its wide rows move to meet the comments and, with broadcasts off, their group: never for the journal's own join."""
+    settings(autoBroadcastJoinThreshold="-1", adaptive__autoBroadcastJoinThreshold="-1")
+    plan = base.base_orders(sample(spark))._jdf.queryExecution().executedPlan().toString()
+    inside = plan[plan.index(f"SortMergeJoin [{m.HEADER_ID}") :]
+    assert m.LAST_TREND not in inside
+
+
+def test_pieces_of_the_series_are_removed(spark, folder):
+    """What the history is made from is not kept beside it."""
+    with session.scope(spark):
+        sources.order_history(spark, f"{folder}/./.")
+        kept = os.listdir(session.fresh_path(spark, "x").rpartition("/")[0])
+    assert {name.rpartition("-")[0] for name in kept if not name.startswith("scope")} == {"detl", "hist"}
