@@ -32,10 +32,16 @@ def search(df: DataFrame, term: str, literal: bool = False) -> DataFrame:
     if not literal:
         check_pattern(df, term)
 
-    def hit(name: str, kind: Any) -> Column:
-        return F.coalesce(holds(text_form(F.col(f"`{name}`"), kind), term, literal), F.lit(False))
+    # Columns of one type share one condition: written out for each of them, it makes code too long to be compiled.
+    alike: dict[Any, list[Column]] = {}
+    for name, kind in kinds(df).items():
+        alike.setdefault(kind, []).append(F.col(f"`{name}`"))
 
-    return df.filter(reduce(or_, [hit(name, kind) for name, kind in kinds(df).items()]))
+    def hit(columns: list[Column], kind: Any) -> Column:
+        found = F.exists(F.array(*columns), lambda x: F.coalesce(holds(text_form(x, kind), term, literal), F.lit(False)))
+        return F.coalesce(found, F.lit(False))
+
+    return df.filter(reduce(or_, [hit(columns, kind) for kind, columns in alike.items()]))
 
 
 def holds(text: Column, term: str, literal: bool) -> Column:

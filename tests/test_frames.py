@@ -102,3 +102,16 @@ def test_profile_and_denied_columns(spark, sample):
     assert frames.deny_columns(df).columns == ["a", "a"]
     assert tuples(frames.deny_columns(df)) == [(1, 4)]
     assert frames.allowed_columns(["a", "Sold_To"]) == ["a"]
+
+
+def test_search_has_one_condition_a_type(spark):
+    """Not one for each of seventeen columns, which makes code too long to be compiled."""
+    df = frame(spark, random_rows(5, range(3), seed=1))
+    plan = frames.search(df, "c[12]")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?iu)c[12]") + plan.count("RLIKE") <= 2 * len({kind for _, kind in df.dtypes})
+
+
+def test_search_of_types_side_by_side(spark):
+    df = spark.createDataFrame([(1, 2.5, 1e20, None, "a"), (2, None, 0.5, "2.5", None), (3, None, None, None, None)], "n int, x double, y double, s string, t string")
+    found = lambda term: sorted(r.n for r in frames.search(df, term).collect())
+    assert found(r"^2\.5$") == [1, 2] and found("1e") == [1] and found("^3$") == [3] and found("a") == [1] and found("^$") == []
