@@ -22,6 +22,7 @@ from re import _parser as parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from orderlens.functions.values import kinds, text_form
 from orderlens.operators.frames import check_pattern, holds, search
@@ -121,7 +122,7 @@ def _needed(parts: Sequence) -> Need:
 
 @dataclass(frozen=True)
 class SearchIndex:
-    """A stored frame (columns numbered, ``row``), its texts, where they are shown, and their trigrams."""
+    """A stored frame (columns numbered, ``row``), its texts, where they are shown, and their trigrams by the texts' numbers."""
 
     rows: DataFrame
     texts: DataFrame
@@ -136,8 +137,8 @@ class SearchIndex:
         """The texts (a, b, text) that hold what is needed."""
         some = self.postings.filter(F.col("gram").isin(sorted(need.all_grams())))
         # At most as many trigrams a text as are asked for.
-        held = some.groupBy(*TEXT).agg(F.collect_set("gram").alias("held")).filter(need.met(F.col("held")))
-        return self.texts.join(held.select(*TEXT), TEXT, "left_semi")
+        held = some.groupBy("number").agg(F.collect_set("gram").alias("held")).filter(need.met(F.col("held")))
+        return self.texts.join(held.select("number"), "number", "left_semi").drop("number")
 
     def search(self, term: str, literal: bool = False) -> DataFrame:
         """The rows that ``frames.search`` finds."""
@@ -154,19 +155,25 @@ class SearchIndex:
 def search_index(df: DataFrame) -> SearchIndex:
     """The index of all columns of ``df``, stored.
 
-    Texts are named by two 64-bit hashes. NULL is shown as no text.
+    Texts are named by two 64-bit hashes, and by a number in the postings, which
+    are many and where hashes could not be compressed. NULL is shown as no text.
     """
     names = df.columns
     numbered = df.toDF(*[f"c{i}" for i in range(len(names))]).withColumn("row", F.monotonically_increasing_id())
     rows = store(numbered, "rows")
-    forms = [text_form(F.col(f"`{name}`"), kind) for name, kind in kinds(rows.drop("row")).items()]
-    each = rows.select("row", F.explode(F.array_distinct(F.array_compact(F.array(*forms)))).alias("text"))
+    # Columns of one type share one expression: written out for each of them, it makes code too long to be compiled.
+    alike: dict[DataType, list[str]] = {}
+    for name, kind in kinds(rows.drop("row")).items():
+        alike.setdefault(kind, []).append(name)
+    forms = [F.transform(F.array(*columns), lambda x, kind=kind: text_form(x, kind)) for kind, columns in alike.items()]
+    each = rows.select("row", F.explode(F.array_distinct(F.array_compact(F.concat(*forms)))).alias("text"))
     named = each.select("row", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(7), "text").alias("b"), "text")
     shown = store(named.select(*TEXT, "row"), "shown")
-    texts = store(named.select(*TEXT, "text").dropDuplicates(TEXT), "texts")
+    unique = named.select(*TEXT, "text").dropDuplicates(TEXT)
+    texts = store(unique.withColumn("number", F.monotonically_increasing_id()), "texts")
     body = F.transform(F.array(fold(F.col("text"))), lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - GRAM + 1), lambda n: F.substring(t, n, GRAM)))
     long = texts.filter(F.length(fold(F.col("text"))) >= GRAM)
-    grams = long.select(*TEXT, F.explode(F.array_distinct(F.get(body, 0))).alias("gram"))
+    grams = long.select("number", F.explode(F.array_distinct(F.get(body, 0))).alias("gram"))
     # In order, so that a search reads only the files' parts that hold its trigrams.
-    postings = store(grams.repartitionByRange("gram").sortWithinPartitions("gram"), "postings")
+    postings = store(grams.repartitionByRange("gram").sortWithinPartitions("gram", "number"), "postings")
     return SearchIndex(rows, texts, shown, postings, tuple(names))

@@ -85,3 +85,8 @@ def test_no_rows(spark):
     empty = search_index(spark.createDataFrame([], "a int, b string"))
     assert empty.search("abc").collect() == [] == empty.search("", True).collect()
     assert re.escape("x") == "x"
+
+
+def test_postings_have_numbers_instead_of_hashes(index, frame):
+    assert set(index.postings.columns) == {"number", "gram"}
+    assert index.texts.select("number").distinct().count() == index.texts.count()
