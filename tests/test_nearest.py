@@ -107,3 +107,40 @@ def test_leaves_beyond_the_limit_are_left_out():
     records = nearest.Records(table(np.arange(5000), vectors, ["c"] * 5000))
     records.nearest(table(np.arange(5000), vectors), 5)
     assert records.compared < 5000 * 5000 * 0.15
+
+
+@pytest.mark.parametrize("crowd", [1, 9])
+@pytest.mark.parametrize("scale", [1.0, 1e-9, 1e9, 1e140])
+@given(seed=st.integers(0, 10_000), n=st.integers(1, 400), span=st.integers(1, 40))
+@settings(max_examples=20, deadline=None)
+def test_rows_of_no_order(crowd, scale, seed, n, span):
+    """Vectors that are asked for on behalf of many orders: all records count, at most three of an order."""
+    pick = np.random.default_rng(seed)
+    orders = np.concatenate([np.zeros(crowd, np.int64), np.arange(1, n + 1)])
+    vectors = pick.integers(0, span, (len(orders), m.LAGS)) * scale + 1e6 * scale
+    asked = pick.integers(0, span, (40, m.LAGS)) * scale + 1e6 * scale
+    asked[0], asked[1, 3] = 1e5 * scale, np.nan
+    rows = table(np.zeros(40, np.int64), asked).drop([m.ORDER])
+    records = nearest.Records(table(orders, vectors, ["c"] * len(orders)), 32)
+    found = records.nearest(rows, 6, None, 3).to_pylist()
+    last = np.array([x[-1]["distance"] if len(x) == 6 else np.nan for x in found])
+    assert records.nearest(rows, 6, last, 3).to_pylist() == found
+    for vector, near in zip(asked, found):
+        expected, seen = [], 0
+        for order, _, distance in brute_force(orders, vectors, ["c"] * len(orders), -1, vector, len(orders)):
+            seen += order == 0
+            if order or seen <= 3:
+                expected.append((order, distance))
+        assert [(x["order_number"], x["distance"]) for x in near] == expected[:6]
+
+
+def test_few_records_are_measured_and_sorted(monkeypatch):
+    """Independent lags, where hardly a leaf is left out: of 5,000 records a row, a few dozen are measured exactly."""
+    measured = []
+    kept = nearest._first
+    monkeypatch.setattr(nearest, "_first", lambda row, *rest: measured.append(len(row)) or kept(row, *rest))
+    pick = np.random.default_rng(3)
+    vectors = pick.integers(1, 51, (5000, m.LAGS)).astype(float)
+    rows = table(np.zeros(500, np.int64), pick.integers(1, 51, (500, m.LAGS)).astype(float)).drop([m.ORDER])
+    nearest.Records(table(np.arange(5000), vectors, ["c"] * 5000)).nearest(rows, 10, None, 5)
+    assert sum(measured) <= 500 * 20

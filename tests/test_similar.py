@@ -277,3 +277,33 @@ def test_queries_go_without_their_vectors(spark, monkeypatch):
     df = frame(spark, random_rows(50, range(20), seed=2))
     similar.nearest_orders(queries_of(spark, df), df).count()
     assert m.LAST_TREND not in plans["asked"].partition("Relation")[0]
+
+
+def test_cells_are_dealt_to_more_tasks_than_partitions(spark):
+    """Cells differ in work, so a task has few of them."""
+    cell = [F.lit("all").alias("_text"), F.lit(1).cast("bigint").alias("_cell")]
+    records = frame(spark, random_rows(200, range(40), seed=5, gaps=0)).select("*", *cell)
+    visits = frame(spark, random_rows(100, range(40), seed=6, gaps=0)).select(*cell, F.monotonically_increasing_id().alias("_query"), *m.TREND_COLUMNS)
+    found = similar.search_cells(visits, records, 5, 10)
+    assert found.rdd.getNumPartitions() > int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@pytest.mark.parametrize("typed", ["string", "binary"])
+def test_blocks_of_other_types(spark, typed):
+    """Blocks are told apart by their values, or by their text where values cannot be hashed as they are."""
+    df = frame(spark, random_rows(90, range(25), groups=("a", "b", None), seed=12))
+    queries = queries_of(spark, df)
+    expected = brute_force(tuples(df), asked(queries), [m.GROUP], 5)
+    found = similar.nearest_orders(queries.withColumn(m.GROUP, F.col(m.GROUP).cast(typed)), df.withColumn(m.GROUP, F.col(m.GROUP).cast(typed)), [m.GROUP])
+    assert as_dict(found.withColumn(m.GROUP, F.col(m.GROUP).cast("string"))) == expected
+
+
+def test_equal_vectors_are_hashed_not_sorted(spark, monkeypatch):
+    """The vectors of a block are told apart without sorting all queries."""
+    plans = []
+    kept = similar.store_only
+    monkeypatch.setattr(similar, "store_only", lambda spark, label, build: kept(spark, label, lambda: plans.append((label, build())) or plans[-1][1]))
+    df = frame(spark, random_rows(80, range(30), seed=4))
+    similar.nearest_orders(queries_of(spark, df), df, [m.GROUP]).count()
+    plan = dict(plans)["vectors"]._jdf.queryExecution().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
