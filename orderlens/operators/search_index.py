@@ -165,7 +165,12 @@ def search_index(df: DataFrame) -> SearchIndex:
     alike: dict[DataType, list[str]] = {}
     for name, kind in kinds(rows.drop("row")).items():
         alike.setdefault(kind, []).append(name)
-    forms = [F.transform(F.array(*columns), lambda x, kind=kind: text_form(x, kind)) for kind, columns in alike.items()]
+
+    def shown_as(columns: list[str], kind: DataType) -> Column:
+        # The function takes the value alone: a second parameter would be given its place.
+        return F.transform(F.array(*columns), lambda x: text_form(x, kind))
+
+    forms = [shown_as(columns, kind) for kind, columns in alike.items()]
     each = rows.select("row", F.explode(F.array_distinct(F.array_compact(F.concat(*forms)))).alias("text"))
     named = each.select("row", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(7), "text").alias("b"), "text")
     shown = store(named.select(*TEXT, "row"), "shown")
